@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quiver.operators.cdc import SEQ, EqualityDeleteTable, committed_mutations, last_checkpoints, touched_and_present
 from quiver.operators.incremental import HASH, ChangeState, taken_in
 from quiver.operators.log import placed_records
+from quiver.operators.selection import select_rank
 from quiver.operators.snapshots import as_set, consecutive, snapshot_changes
+from quiver.sources.csv_quarantine import parse_lines, typed_columns
 from quiver.workdir import materialise, scratch_path
 
 
@@ -25,6 +27,23 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return state.changed(current).select("shard_id", "lsn")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Import lines that don't fit their layout, with the reason."""
+    parsed = parse_lines(table(spark, sf, "csv_line"), table(spark, sf, "csv_header"))
+    return parsed.filter(F.col("reason").isNotNull()).select("line_id", "reason").distinct()
+
+
+def p2_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The import lines that fit, typed by their layout; one JSON object a line, as layouts differ in columns."""
+    header = table(spark, sf, "csv_header")
+    columns: dict[int, list] = {}
+    for r in header.distinct().orderBy("layout_id", "col_no").limit(100_000).collect():  # the dictionary of layouts, of fixed size
+        columns.setdefault(r.layout_id, []).append((r.name, r.ty))
+    parsed = parse_lines(table(spark, sf, "csv_line").dropDuplicates(["line_id", "raw"]), header).filter(F.col("reason").isNull())
+    rows = [F.when(F.col("layout_id") == layout, F.to_json(F.struct(*typed_columns(c, [])))) for layout, c in columns.items()]
+    return parsed.select("line_id", "layout_id", F.coalesce(*rows).alias("typed"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes and relationships added, removed or changed against the shard's preceding snapshot."""
     pairs = consecutive(table(spark, sf, "snapshot_info"), "shard_id", "taken_at")
@@ -39,6 +58,20 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The lower median by score of each label's nodes and by weight of each type's relationships."""
+    key = ["group_kind", "group_name", "snapshot_id", "entity_id"]
+    node = table(spark, sf, "snapshot_node").filter(F.col("score").isNotNull()).select(
+        F.lit("label").alias("group_kind"), F.explode(F.array_distinct("labels")).alias("group_name"), "snapshot_id", F.col("id").alias("entity_id"), F.col("score").alias("value")
+    )
+    rel = table(spark, sf, "snapshot_rel").filter(F.col("weight").isNotNull()).join(table(spark, sf, "rel_type").distinct(), "rel_type_id").select(
+        F.lit("rel_type").alias("group_kind"), F.col("name").alias("group_name"), "snapshot_id", F.col("id").alias("entity_id"), F.col("weight").alias("value")
+    )
+    rows = node.unionByName(rel).filter(F.col("group_name").isNotNull()).groupBy(*key).agg(F.min("value").alias("value"))
+    rows = materialise(rows, "p5-rows")
+    return select_rank(rows, key[:2], ["value", *key[2:]], F.floor((F.col("n") + 1) / 2)).select(*key)
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes and relationships that the log has touched since the last checkpoint and that exist."""
     keys = ["shard_id", "entity_kind", "entity_id"]
@@ -62,7 +95,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return touched_and_present(target, born, F.col("event_kind") != "base")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_rows": p2_rows, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
 
 _SEGMENTS = """
   seg AS (SELECT shard_id, segment_id, base_lsn, last_good_offset FROM (
@@ -101,6 +134,15 @@ SELECT coalesce(a.snapshot_id, b.snapshot_id), 'rel', coalesce(a.id, b.id),
        CASE WHEN b.id IS NULL THEN 'added' WHEN a.id IS NULL THEN 'removed' ELSE 'changed' END
 FROM en a FULL JOIN eo b ON a.snapshot_id = b.snapshot_id AND a.id = b.id
 WHERE a.id IS NULL OR b.id IS NULL OR (a.src, a.dst, a.rel_type_id, a.since, a.strength, a.weight) IS DISTINCT FROM (b.src, b.dst, b.rel_type_id, b.since, b.strength, b.weight)""",
+    "p5_found": """
+WITH v AS (
+  SELECT DISTINCT 'label' AS group_kind, unnest(list_distinct(labels)) AS group_name, snapshot_id, id AS entity_id, score AS value
+  FROM snapshot_node WHERE score IS NOT NULL
+  UNION ALL
+  SELECT DISTINCT 'rel_type', t.name, r.snapshot_id, r.id, r.weight FROM snapshot_rel r JOIN rel_type t USING (rel_type_id) WHERE r.weight IS NOT NULL),
+  w AS (SELECT *, row_number() OVER (PARTITION BY group_kind, group_name ORDER BY value, snapshot_id, entity_id) AS rn,
+               count(*) OVER (PARTITION BY group_kind, group_name) AS n FROM v)
+SELECT group_kind, group_name, snapshot_id, entity_id FROM w WHERE rn = (n + 1) // 2""",
     "p6_found": f"""
 WITH {_SEGMENTS},
   ck AS (SELECT shard_id, snapshot_id, wal_lsn FROM (
