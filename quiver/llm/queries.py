@@ -16,7 +16,7 @@ from quiver.llm.tokens import encode_documents
 from quiver.workdir import materialise
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: most rows that the trees of p9 are fitted on
+#: rows that the trees of p9 are fitted on, at any size of the input
 FIT_ROWS = 4000
 #: fixed values of p9: least share, least words; and what follows for a case's other statistics
 LEAST_SHARE, LEAST_WORDS, WINDOW = 0.3, 20, 6
@@ -42,12 +42,13 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 def score_repetition(measured: DataFrame, key: str = "doc_id", rows: int = FIT_ROWS) -> tuple[DataFrame, float]:
     """``measured`` with the trees' score, and the score below which no case can lie.
 
-    The trees are fitted on at most ``rows`` rows, the first by a hash of the
-    key.  All statistics are monotone features, so each case scores at least
+    The trees are fitted on about ``rows`` rows, taken by a hash of the key,
+    whatever the number of documents.  All statistics are monotone features, so each case scores at least
     as high as the corner where every statistic has the least value that a
     case can have.
     """
-    sample = measured.orderBy(F.xxhash64(key), key).limit(rows).select(*STATISTICS).toPandas()
+    share = min(1.0, rows / max(1, measured.count()))
+    sample = measured.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000)).select(*STATISTICS).toPandas()
     x = sample.to_numpy(dtype=np.float64)
     y = ((x[:, 0] >= LEAST_SHARE) & (x[:, 1] >= LEAST_WORDS)).astype(np.float64)
     model = boosted_trees.fit(x, y, np.ones(len(STATISTICS), dtype=np.int64))
