@@ -265,7 +265,7 @@ class Matcher:
     def _empty(self, path: A.PathP) -> None:
         """No table fits: bind all to nothing."""
         if self.s.df is None:
-            self.s.df = self.s.spark.range(0).drop("id").selectExpr("1 AS `_none`").drop("_none") if False else self.s.spark.range(0).selectExpr("id AS `_none`")
+            self.s.df = self.s.spark.range(0).selectExpr("id AS `_none`")
         self.s.df = self.s.df.limit(0)
         for n in path.nodes:
             if n.var and n.var not in self.s.vars:
@@ -675,7 +675,7 @@ def _apart(outer: Scope, paths, where, used: set[str]) -> tuple[Scope, list, lis
     inner.df, inner.hidden = None, []
     inside = {v for v in variables(paths)}
     early = where is not None and (names_in(where) <= inside - set(shared) or any(isinstance(x, (A.Exists, A.PatternComp)) for x in walk(where)))
-    Matcher(inner, used | (names_in(where) - set() if early else set()), set() if early else set(shared)).match(paths)
+    Matcher(inner, used | (names_in(where) if early else set()), set() if early else set(shared)).match(paths)
     if early:
         inner.df = inner.df.filter(inner.boolean(inner.compile(where)))
     on = []
@@ -715,7 +715,7 @@ def _renamed(b, names: dict[str, str]):
 def _condition(outer: Scope, inner: Scope, on: list, shared, where, done: bool):
     if where is not None and not done:
         both = outer.clone(None, {**inner.vars, **outer.vars})
-        both.df = outer.df.crossJoin(inner.df) if False else outer.spark.createDataFrame([], T.StructType([*outer.df.schema.fields, *inner.df.schema.fields]))
+        both.df = outer.spark.createDataFrame([], T.StructType([*outer.df.schema.fields, *inner.df.schema.fields]))
         on = [*on, F.expr(both.boolean(both.compile(where)))]
     return reduce(lambda a, b: a & b, on) if on else F.lit(True)
 
