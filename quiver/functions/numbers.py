@@ -122,7 +122,7 @@ template("math.log_base", "nn", "if({0} > 0 AND {1} > 0 AND {1} <> 1, ln({0}) /
 
 def _gcd(x: str, y: str) -> str:
     """Euclid's steps; 92 are enough for 64 bits."""
-    return f"aggregate(sequence(1, 92), named_struct('a', {x}, 'b', {y}), (s, i) -> if(s.b = 0, s, named_struct('a', s.b, 'b', s.a % s.b)), s -> abs(s.a))"
+    return f"aggregate(sequence(1, 92), named_struct('a', CAST({x} AS BIGINT), 'b', CAST({y} AS BIGINT)), (s, i) -> if(s.b = 0, s, named_struct('a', s.b, 'b', s.a % s.b)), s -> abs(s.a))"
 
 
 @function("math.gcd", "ii")
