@@ -81,7 +81,7 @@ template("list.unique", "l", "array_distinct({0})")
 template("list.first", "l", "get({0}, 0)")
 template("list.rest", "l", "if(size({0}) = 0, NULL, slice({0}, 2, greatest(size({0}) - 1, 0)))")
 template("list.init", "l", "if(size({0}) = 0, NULL, slice({0}, 1, greatest(size({0}) - 1, 0)))")
-template("list.last", "l", "try_element_at({0}, -1)")
+template("list.last", "l", "get({0}, size({0}) - 1)")
 template("list.at", "li", "get({0}, CAST(if({1} < 0, if({1} + size({0}) < 0, size({0}), {1} + size({0})), least({1}, size({0}))) AS INT))")
 
 

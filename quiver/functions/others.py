@@ -285,7 +285,7 @@ _of("edge.properties", "edge", _own_properties)
 _of("path.nodes", "path", lambda v: f"{v.sql}.nodes")
 _of("path.edges", "path", lambda v: f"{v.sql}.rels")
 _of("path.first", "path", lambda v: f"get({v.sql}.nodes, 0)")
-_of("path.last", "path", lambda v: f"try_element_at({v.sql}.nodes, -1)")
+_of("path.last", "path", lambda v: f"get({v.sql}.nodes, size({v.sql}.nodes) - 1)")
 
 
 @function("node.has_label", "as")
