@@ -10,7 +10,7 @@ own.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -25,6 +25,24 @@ class UnknownName(ValueError):
     """A label, relationship type or property that the graph doesn't have."""
 
 
+class LazyFrame:
+    """A DataFrame that is only opened when it is used: a query doesn't read the footers of tables it doesn't touch."""
+
+    def __init__(self, load: Callable[[], DataFrame]):
+        self._load, self._frame = load, None
+
+    def _get(self) -> DataFrame:
+        if self._frame is None:
+            self._frame = self._load()
+        return self._frame
+
+    def __getattr__(self, name: str):
+        return getattr(self._get(), name)
+
+    def __getitem__(self, item):
+        return self._get()[item]
+
+
 @dataclass(frozen=True)
 class NodeTable:
     """Nodes with ``labels``; ``id`` names their key column, ``label_column`` an array of further labels."""
@@ -47,7 +65,8 @@ class NodeTable:
 class EdgeTable:
     """Relationships of one type from ``source`` to ``target``; id, src and dst are SQL over the columns of ``df``.
 
-    owner: "src" or "dst" if each row is the row of that end's vertex table.
+    owner: "src" or "dst" if each row is the row of that end's vertex table;
+    hidden: columns that aren't properties of the relationship, ("*",) for all.
     """
 
     type: str
@@ -62,7 +81,7 @@ class EdgeTable:
 
     @property
     def properties(self) -> list[str]:
-        return [c for c in self.df.columns if not c.startswith("_") and c not in self.hidden]
+        return [] if self.hidden == ("*",) else [c for c in self.df.columns if not c.startswith("_") and c not in self.hidden]
 
     def types(self) -> dict[str, DataType]:
         return {f.name: f.dataType for f in self.df.schema.fields}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 from functools import reduce
 
@@ -197,23 +198,18 @@ def vector_query(graph: PropertyGraph, entity: str, name: str, k: int, vector: l
     return top if entity == "NODE" else top.withColumnRenamed("node", "relationship")
 
 
-def _equals(term: str):
-    return lambda w: w == F.lit(term)
-
-
 def fulltext_query(graph: PropertyGraph, entity: str, name: str, query: str) -> DataFrame:
     """Entities whose indexed texts have all the words; score: how often they occur. Counted within each row, so nothing is shuffled before the sort."""
     index = _index(graph, name, "FULLTEXT", entity)
     df, props, key, struct = _entities(graph, index)
-    import re
-
     terms = list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
     if not terms:
         return df.limit(0).selectExpr(f"{struct} AS {'node' if entity == 'NODE' else 'relationship'}", "0.0D AS score")
-    text = "concat_ws(' ', " + ", ".join(f"`{props[p]}`" for p in index.properties if p in props) + ")"
-    words = F.split(F.lower(F.expr(text)), r"[^\p{L}\p{N}]+")
-    df = df.withColumn("_words", words)
-    counts = [F.size(F.filter("_words", _equals(t))) for t in terms]
+    # a cheap test for each word first; only rows that have all of them are searched word by word
+    df = df.withColumn("_text", F.lower(F.expr("concat_ws(' ', " + ", ".join(f"`{props[p]}`" for p in index.properties if p in props) + ")")))
+    df = df.filter(reduce(lambda a, b: a & b, [F.contains("_text", F.lit(t)) for t in terms]))
+    edge = r"[\p{L}\p{N}]"
+    counts = [F.regexp_count("_text", F.lit(f"(?<!{edge}){t}(?!{edge})")) for t in terms]
     df = df.filter(reduce(lambda a, b: a & b, [c > 0 for c in counts]))
     scored = df.select(F.expr(struct).alias("node" if entity == "NODE" else "relationship"), F.col(f"`{key}`").alias("_key"), reduce(lambda a, b: a + b, counts).cast("double").alias("score"))
     return scored.orderBy(F.desc("score"), "_key").drop("_key")

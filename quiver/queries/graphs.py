@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from quiver.graph.property_graph import EdgeTable, IndexDef, NodeTable, PropertyGraph
+from quiver.graph.property_graph import EdgeTable, IndexDef, LazyFrame, NodeTable, PropertyGraph
 
 _KEYS = {
     "Region": ("region", "r_regionkey"), "Nation": ("nation", "n_nationkey"), "Customer": ("customer", "c_custkey"), "Supplier": ("supplier", "s_suppkey"),
@@ -18,16 +18,16 @@ def trade_graph(spark: SparkSession, sf: str) -> PropertyGraph:
     Foreign keys are relationships owned by their row; line items are the
     relationships between orders and parts, and between suppliers and orders.
     """
-    read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
+    read = lambda t: LazyFrame(lambda: spark.read.parquet(f"{sf}/{t}.parquet"))
     frames = {label: read(t) for label, (t, _) in _KEYS.items()}
     nodes = [NodeTable(label, df, _KEYS[label][1], (label,)) for label, df in frames.items()]
-    nodes.append(NodeTable("User", frames["Event"].select("user_id").distinct(), "user_id", ("User",)))
+    nodes.append(NodeTable("User", LazyFrame(lambda: frames["Event"].select("user_id").distinct()), "user_id", ("User",)))
     items = read("lineitem")
 
     def owned(type_: str, source: str, target: str, of: str, src: str, dst: str) -> EdgeTable:
         df = frames[source if of == "src" else target]
         key = _KEYS[source if of == "src" else target][1]
-        return EdgeTable(type_, df, key, src, dst, source, target, of, tuple(df.columns))
+        return EdgeTable(type_, df, key, src, dst, source, target, of, ("*",))
 
     line = "(l_orderkey * 10 + l_linenumber)"
     edges = (
