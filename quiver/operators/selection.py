@@ -65,7 +65,8 @@ def select_rank(
     parts = _parts(rows, order)
     names = [n for n, _, _ in parts]
     gs = [f"_g{i}" for i in range(len(group))]
-    base = rows.dropna(subset=order).select(*[F.col(f"`{g}`").alias(a) for g, a in zip(group, gs)], *[e.alias(n) for n, e, _ in parts])
+    whole = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in order])  # dropna would drop NaN too
+    base = rows.filter(whole).select(*[F.col(f"`{g}`").alias(a) for g, a in zip(group, gs)], *[e.alias(n) for n, e, _ in parts])
     base = base.withColumn("_salt", F.pmod(F.xxhash64(*names), F.lit(SALTS)).cast("int"))
     ends = lambda: [f(n).alias(f"{p}{n}") for n in names for f, p in ((F.min, "lo"), (F.max, "hi"))]
     cursor = base.groupBy(*gs).agg(F.count(F.lit(1)).alias("n"), *ends())

@@ -121,7 +121,7 @@ def check_constraint(graph: PropertyGraph, c: ConstraintDef) -> DataFrame | None
         if c.kind in ("NOT_NULL", "KEY"):
             bad.append(df.filter(reduce(lambda a, b: a | b, [F.col(f"`{p}`").isNull() for p in have])).select(F.lit("null").alias("problem")))
         if c.kind in ("UNIQUE", "KEY") and len(have) == len(c.properties):
-            full = df.dropna(subset=have)
+            full = df.filter(reduce(lambda a, b: a & b, [F.col(f"`{p}`").isNotNull() for p in have]))
             bad.append(full.groupBy(*[F.col(f"`{p}`") for p in have]).count().filter("count > 1").select(F.lit("repeated").alias("problem")))
         if c.kind == "TYPE" and have:
             t = df.schema[have[0]].dataType

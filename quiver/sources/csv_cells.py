@@ -49,8 +49,7 @@ _CLASS[ord('"')], _CLASS[ord(",")], _CLASS[SEPARATOR] = QUOTE, COMMA, END
 def _prefixes(elements: np.ndarray, chunk: int) -> np.ndarray:
     """Product of all elements up to and including each one."""
     n = len(elements)
-    if n <= chunk:
-        chunk = max(1, n)
+    chunk = max(2, chunk)
     count = -(-n // chunk) if n else 0
     if not count:
         return elements

@@ -67,7 +67,7 @@ def parse_lines(lines: DataFrame, header: DataFrame, carry: tuple[str, ...] = ("
     own = ("cells", "reason", "error_at", "error_cell")
     carried = [F.col(f"`{c}`").alias(f"{c}_in" if c in own else c) for c in carry if c != "layout_id"]
     joined = lines.select(*carried, "layout_id", F.col("raw").alias(_RAW)).join(layouts(header), "layout_id", "left")
-    names = [c for c in joined.columns if c not in (_RAW, _TYPES)]
+    names = [*(f"{c}_in" if c in own else c for c in carry if c != "layout_id"), "layout_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
