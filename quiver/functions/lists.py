@@ -18,6 +18,18 @@ def _whole(a) -> bool:
     return isinstance(a.type.elementType, (*INTEGRAL, T.NullType))
 
 
+def variant(sql: str, k: str) -> str:
+    return f"to_variant_object({sql})" if k in ("list", "map", "node", "edge", "path") else f"CAST({sql} AS VARIANT)"
+
+
+def aligned(lists: list, items: list = ()) -> tuple[list[str], list[str]]:
+    """Lists and single values with elements of one type: as they are, or as variants where kinds differ."""
+    kinds = {kind(x.type.elementType) for x in lists} | {x.kind for x in items}
+    if len(kinds - {"null"}) <= 1:
+        return [x.sql for x in lists], [x.sql for x in items]
+    return [x.sql if kind(x.type.elementType) == "any" else f"transform({x.sql}, v -> {variant('v', kind(x.type.elementType))})" for x in lists], [x.sql if x.kind == "any" else variant(x.sql, x.kind) for x in items]
+
+
 @function("list.sum", "l")
 def _sum(c, a):
     if not _numbers(a[0]):
@@ -161,7 +173,13 @@ template("list.union", "ll", "array_union({0}, {1})")
 template("list.intersect", "ll", "array_intersect({0}, {1})")
 template("list.diff", "ll", "filter({0}, v -> NOT exists({1}, w -> w <=> v))")
 template("list.symmetric_diff", "ll", "array_union(array_except({0}, {1}), array_except({1}, {0}))")
-template("list.zip", "ll", "zip_with(slice({0}, 1, least(size({0}), size({1}))), slice({1}, 1, least(size({0}), size({1}))), (x, y) -> array(x, y))")
+@function("list.zip", "ll")
+def _zip(c, a):
+    x, y = aligned(a)[0]
+    n = f"least(size({a[0].sql}), size({a[1].sql}))"
+    return f"zip_with(slice({x}, 1, {n}), slice({y}, 1, {n}), (p, q) -> array(p, q))"
+
+
 template(
     "list.chunks", "li",
     "CASE WHEN {1} <= 0 THEN NULL WHEN size({0}) = 0 THEN slice(array({0}), 1, 0) ELSE "
@@ -234,11 +252,21 @@ template(
 
 @function("list.concat", "l", low=2, high=MANY)
 def _concat(c, a):
-    return f"concat({', '.join(x.sql for x in a)})"
+    return f"concat({', '.join(aligned(a)[0])})"
+
+
+@function("list.append", "la")
+def _append(c, a):
+    (x,), (v,) = aligned(a[:1], a[1:])
+    return f"array_append({x}, {v})"
+
+
+@function("list.prepend", "la")
+def _prepend(c, a):
+    (x,), (v,) = aligned(a[:1], a[1:])
+    return f"array_prepend({x}, {v})"
 
 
-template("list.append", "la", "array_append({0}, {1})")
-template("list.prepend", "la", "array_prepend({0}, {1})")
 template("list.take", "li", "slice({0}, 1, CAST(greatest({1}, 0) AS INT))")
 template("list.drop", "li", "slice({0}, CAST(least(greatest({1}, 0), size({0})) AS INT) + 1, size({0}))")
 template("list.take_last", "li", "slice({0}, greatest(size({0}) - CAST(least(greatest({1}, 0), size({0})) AS INT), 0) + 1, size({0}))")

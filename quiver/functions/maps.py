@@ -15,6 +15,8 @@ class Entries:
     def of(v) -> list[tuple[str, str]] | None:
         if isinstance(v.type, T.StructType):
             return [(n, f"{v.sql}.{ident(n)}") for n in v.type.names if not n.startswith("_")]
+        if isinstance(v.type, T.MapType) and isinstance(v.type.keyType, T.NullType):
+            return []  # the literal {}
         return None
 
 

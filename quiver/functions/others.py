@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from quiver.functions.maps import Entries
 from quiver.functions.registry import CAST_NAMES, FUNCTIONS, MANY, function, template
-from quiver.functions.temporal import parse_duration, text_of
+from quiver.functions.temporal import parse_duration, parse_time, text_of
 from quiver.plans.values import INTEGRAL, ident, quoted, type_name
 
 # -- bytes ---------------------------------------------------------------
@@ -148,7 +148,7 @@ def _json_path(c, a):
 
 # -- geo -----------------------------------------------------------------
 def _coordinate(v, *names: str) -> str | None:
-    return next((f"CAST({v.sql}.{ident(n)} AS DOUBLE)" for n in names if n in v.type.names), None)
+    return next((f"try_cast({v.sql}.{ident(n)} AS DOUBLE)" for n in names if n in v.type.names), None)
 
 
 @function("geo.point", "m")
@@ -382,7 +382,7 @@ def cast(c, v, to: str, strict: bool) -> str:
     k, s = v.kind, v.sql
     if k == "null":
         return "NULL"
-    bad = f"raise_error({quoted(f'{type_name(v.type)} can not be cast to {to}')})" if strict else "NULL"
+    bad = f"raise_error({quoted(f'cannot cast {type_name(v.type)} to {to}')})" if strict else "NULL"
     none = f"if({s} IS NULL, NULL, {bad})" if strict else "NULL"
     if to in ("STRING", "TEXT"):
         if k in ("date", "datetime", "localdatetime", "duration"):
@@ -392,7 +392,8 @@ def cast(c, v, to: str, strict: bool) -> str:
         return f"CAST({s} AS STRING)" if k in ("string", "number", "bool", "any") else f"CAST({none} AS STRING)"
     if to in ("INTEGER", "INT"):
         if k == "string":
-            return f"{how}(if({s} RLIKE '^[+-]?[0-9]+$', {s}, {f'if({s} IS NULL, NULL, {quoted('not an integer')})' if strict else 'NULL'}) AS BIGINT)"
+            no = f"CAST(if({s} IS NULL, NULL, raise_error(concat('cannot cast ', {s}, ' to INTEGER'))) AS STRING)" if strict else "NULL"
+            return f"{how}(if({s} RLIKE '^[+-]?[0-9]+$', {s}, {no}) AS BIGINT)"
         if k == "number":
             return f"{how}({s} AS BIGINT)"
         return f"CAST({s} AS BIGINT)" if k == "bool" else f"{how}({s} AS BIGINT)" if k == "any" else f"CAST({none} AS BIGINT)"
@@ -412,6 +413,11 @@ def cast(c, v, to: str, strict: bool) -> str:
             c.called = {"DATE": "date", "TIMESTAMP": "datetime", "TIMESTAMP_NTZ": "localdatetime"}[sql]
             return FUNCTIONS["temporal.now"].build(c, [v])
         return f"CAST({none} AS {sql})"
+    if to in ("TIME", "ZONED TIME", "LOCAL TIME", "LOCAL_TIME"):
+        local = to.startswith("LOCAL")
+        if k == "string":
+            return parse_time(s, local)
+        return s if k == ("localtime" if local else "time") else none
     if to == "DURATION":
         return parse_duration(s) if k == "string" else s if k == "duration" else none
     if to == "POINT":

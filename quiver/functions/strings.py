@@ -56,7 +56,12 @@ def _replace(c, a):
         limit = a[3].sql
         pieces = f"split({s}, {quoted(p) if p else _literal_re(n)}, CAST({limit} + 1 AS INT))"
         return f"CASE WHEN {limit} <= 0 OR {n} = '' THEN {s} ELSE array_join({pieces}, {r}) END"
-    return f"regexp_replace({s}, {quoted(p)}, {r})" if p else f"replace({s}, {n}, {r})"
+    if p:
+        return f"regexp_replace({s}, {quoted(p)}, {r})"
+    between = f"concat({r}, array_join(transform(split({s}, ''), v -> concat(v, {r})), ''))"  # an empty needle is found at every border
+    if a[1].lit:
+        return f"replace({s}, {n}, {r})"
+    return f"CASE WHEN {n} = '' THEN if({s} = '', {r}, {between}) ELSE replace({s}, {n}, {r}) END"
 
 
 def _literal_re(sql: str) -> str:
@@ -127,7 +132,7 @@ def _escape(c, a):
     s = a[0].sql
     forms = {
         "cypher": f"replace(replace({s}, '\\\\', '\\\\\\\\'), '\\'', '\\\\\\'')",
-        "json": f"regexp_extract(to_json(named_struct('v', {s})), '^\\\\{{\"v\":\"(.*)\"\\\\}}$', 1)",
+        "json": f"regexp_extract(to_json(named_struct('v', {s})), '(?s)^\\\\{{\"v\":(.*)\\\\}}$', 1)",
         "html": f"replace(replace(replace(replace(replace({s}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '\\'', '&#39;')",
     }
     if isinstance(a[1].lit, str):
@@ -178,8 +183,9 @@ def _regex_groups(c, a):
 
 @function("string.matches", "ss")
 def _matches(c, a):
-    if isinstance(a[1].lit, str) and not c.good_pattern(a[1].lit):
-        return "CAST(NULL AS BOOLEAN)"
+    p = _pattern(a[1]) or a[1].lit
+    if isinstance(p, str):
+        return f"rlike({a[0].sql}, {quoted(p)})" if c.good_pattern(p) else "CAST(NULL AS BOOLEAN)"
     return f"rlike({a[0].sql}, {a[1].sql})"
 
 

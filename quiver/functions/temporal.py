@@ -31,6 +31,18 @@ def parse_duration(s: str) -> str:
     return f"if({s} RLIKE '{shape}', {duration(months, days, seconds, nanos)}, NULL)"
 
 
+def parse_time(s: str, local: bool) -> str:
+    """SQL of a time of day with its offset in seconds, or without one."""
+    shape = "^([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\\\\.[0-9]{1,9})?)?" + ("$" if local else "(Z|[+-][0-9]{2}:?[0-9]{2})?$")
+    part = lambda pattern: f"coalesce(try_cast(nullif(regexp_extract({s}, '{pattern}', 1), '') AS BIGINT), 0L)"
+    nanos = f"coalesce(try_cast(rpad(nullif(regexp_extract({s}, '\\\\.([0-9]+)', 1), ''), 9, '0') AS BIGINT), 0L)"
+    total = f"({part('^([0-9]{2})')} * 3600 + {part('^[0-9]{2}:([0-9]{2})')} * 60 + {part('^[0-9]{2}:[0-9]{2}:([0-9]{2})')}) * 1000000000 + {nanos}"
+    if local:
+        return f"if({s} RLIKE '{shape}', named_struct('local_nanos', {total}), NULL)"
+    zone = f"if({s} RLIKE '-[0-9]{{2}}:?[0-9]{{2}}$', -1L, 1L) * ({part('[+-]([0-9]{2}):?[0-9]{2}$')} * 3600 + {part('[+-][0-9]{2}:?([0-9]{2})$')} * 60)"
+    return f"if({s} RLIKE '{shape}', named_struct('time_nanos', {total}, 'offset', CAST({zone} AS INT)), NULL)"
+
+
 def add(t: str, d: str, of: str, sign: int = 1) -> str:
     """A date or timestamp moved by a duration; month ends clamp."""
     k = "" if sign > 0 else "-"
@@ -155,6 +167,9 @@ _PARTS = {
 
 def component(sql: str, k: str, name: str) -> str | None:
     """A part of a temporal value, or None if it has no such part."""
+    if k in ("time", "localtime"):
+        n = f"{sql}.{'time' if k == 'time' else 'local'}_nanos"
+        return {"hour": f"{n} DIV 3600000000000", "minute": f"{n} DIV 60000000000 % 60", "second": f"{n} DIV 1000000000 % 60", "millisecond": f"{n} DIV 1000000 % 1000", "nanosecond": f"{n} % 1000000000"}.get(name)
     if k == "duration":
         whole = {"years": f"{sql}.months DIV 12", "hours": f"{sql}.seconds DIV 3600", "minutes": f"{sql}.seconds DIV 60", "milliseconds": f"{sql}.nanos DIV 1000000", "nanoseconds": f"{sql}.nanos"}
         return whole.get(name, f"{sql}.{name}" if name in ("months", "days", "seconds", "nanos") else None)

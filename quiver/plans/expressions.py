@@ -171,7 +171,7 @@ class Scope:
         k = of.kind
         if k == "null":
             return "NULL"
-        if k in ("date", "datetime", "localdatetime", "duration"):
+        if k in ("date", "datetime", "localdatetime", "duration", "time", "localtime"):
             return component(of.sql, k, key.lower()) or "NULL"
         if k == "point":
             known = {"x": "x", "y": "y", "z": "z", "srid": "srid", "longitude": "x", "latitude": "y", "height": "z"}
@@ -197,7 +197,9 @@ class Scope:
 
     def boolean(self, v: Val) -> str:
         """Truth of a value: null and boolean as they are, anything else is true."""
-        return v.sql if v.kind in ("bool", "null") else f"({v.sql} IS NOT NULL)"
+        if v.kind == "null":
+            return "CAST(NULL AS BOOLEAN)"
+        return v.sql if v.kind == "bool" else f"({v.sql} IS NOT NULL)"
 
     def _lit(self, e: A.Lit) -> Val:
         types = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType(), type(None): T.NullType()}
@@ -386,12 +388,9 @@ class Scope:
         if op == "+":
             if k == ("string", "string"):
                 return f"concat({x.sql}, {y.sql})"
-            if k == ("list", "list"):
-                return f"concat({x.sql}, {y.sql})"
-            if k[0] == "list":
-                return f"array_append({x.sql}, {y.sql})"
-            if k[1] == "list":
-                return f"array_prepend({y.sql}, {x.sql})"
+            if "list" in k:
+                name = "list.concat" if k == ("list", "list") else "list.append" if k[0] == "list" else "list.prepend"
+                return FUNCTIONS[name].build(self, [x, y] if k[0] == "list" else [y, x])
             if k == ("duration", "duration"):
                 return FUNCTIONS["temporal.add"].build(self, [x, y])
             if k[1] == "duration" and k[0] in ("date", "datetime", "localdatetime"):
@@ -505,8 +504,11 @@ class Scope:
         if f is None:
             raise QueryError(f"unknown function {e.name}")
         args = e.args
-        if full in ("vector.distance", "vector.similarity", "vector.norm", "vector.coordinates") and args and isinstance(args[-1], A.Var) and args[-1].name not in self.vars:
-            args = (*args[:-1], A.Lit(args[-1].name))
+        if full.partition(".")[0] in ("vector", "cast", "type") and len(args) > 1 and isinstance(args[-1], A.Var) and args[-1].name not in self.vars:
+            args = (*args[:-1], A.Lit(args[-1].name))  # a bare word that names a metric or a type
+        if full in ("type.of", "type.is") and args and isinstance(args[0], A.Cast) and args[0].to.startswith("VECTOR"):
+            name_of = A.Lit(args[0].to.replace("<INT>", "<INTEGER>"))
+            return self.compile(name_of if full == "type.of" else A.Binary("IN", args[1], A.ListLit((name_of, A.Lit("VECTOR"), A.Lit("ANY")))))
         if not f.low <= len(args) + (full in ("cast.to", "cast.try") and name not in (full, "type.cast", "type.try_cast")) <= f.high:
             raise QueryError(f"{e.name} takes {f.low} to {f.high} arguments, not {len(args)}")
         fast = self._direct(full, args)

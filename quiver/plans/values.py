@@ -91,6 +91,8 @@ def kind(t: T.DataType) -> str:
             return "point"
         if names == ["time_nanos", "offset"]:
             return "time"
+        if names == ["local_nanos"]:
+            return "localtime"
         return "map"
     return "other"
 
@@ -102,4 +104,4 @@ def type_name(t: T.DataType) -> str:
         return "INTEGER" if isinstance(t, INTEGRAL) else "FLOAT"
     if k == "list":
         return f"LIST<{type_name(t.elementType)}>" if kind(t.elementType) != "null" else "LIST"
-    return {"null": "NULL", "bool": "BOOLEAN", "localdatetime": "LOCAL_DATETIME"}.get(k, k.upper())
+    return {"null": "NULL", "bool": "BOOLEAN", "localdatetime": "LOCAL_DATETIME", "localtime": "LOCAL_TIME"}.get(k, k.upper())
