@@ -24,6 +24,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quiver.llm.pruned_graph import PrunedGraph
 
 
+_COPIES = 1 << 32  # shard number and copy number in one
+
+
 @dataclass(frozen=True)
 class Settings:
     """k: neighbours of each vector; least: least cosine similarity of a result;
@@ -47,10 +50,15 @@ class Settings:
 
 @dataclass
 class Cells:
-    """Centroids of one collection, grouped under coarser ones if there are many, and the shards of each cell."""
+    """Centroids of one collection, grouped under coarser ones if there are many.
+
+    shards: into how many parts a cell's stored vectors are split; copies: on
+    how many groups each shard is built, so that no group has too many visitors.
+    """
 
     centroids: np.ndarray
     shards: np.ndarray
+    copies: np.ndarray
     groups: list[np.ndarray] = field(default_factory=list)
     coarse: np.ndarray | None = None
 
@@ -88,12 +96,15 @@ def fit_cells(x: np.ndarray, size: int, s: Settings) -> Cells:
     count = int(max(1, min(-(-size // s.cell), len(x) // 8)))
     c = _means(x, count, 4) if count > 1 else x[:1] if len(x) else np.zeros((1, 1), np.float32)
     held = np.bincount(np.argmax(x @ c.T, axis=1), minlength=count) if len(x) else np.zeros(1)
-    shards = np.maximum(1, np.ceil(held / max(1, len(x)) * size / s.shard)).astype(np.int64)
-    cells = Cells(c, shards)
+    planned = lambda n, most: np.maximum(1, np.ceil(n / max(1, len(x)) * size / most)).astype(np.int64)
+    cells = Cells(c, planned(held, s.shard), np.ones(count, dtype=np.int64))
     if count > 256:
         cells.coarse = _means(c, int(count**0.5), 4)
         own = np.argmax(c @ cells.coarse.T, axis=1)
         cells.groups = [np.flatnonzero(own == g) for g in range(len(cells.coarse))]
+    if len(x):
+        near = cells.nearest(x, s.visits).ravel()
+        cells.copies = planned(np.bincount(near[near >= 0], minlength=count), 2 * s.shard)
     return cells
 
 
@@ -143,8 +154,8 @@ def nearest_pairs(entries: DataFrame, settings: Settings | None = None) -> DataF
     out = "index_name string, vec_id long, other long, similarity double"
     if not total:
         return spark.createDataFrame([], out)
-    share = max(1, min(1_000_000, int(1_000_000 * s.sample / total)))
-    picked = usable.filter(F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(1_000_000)) < share).toArrow()
+    share = min(1 << 40, (s.sample << 40) // total)
+    picked = usable.filter(F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(1 << 40)) < share).toArrow()
     cells: dict[tuple[str, int], Cells] = {}
     names, dims = np.array(picked.column("index_name").to_pylist(), dtype=object), picked.column("dimension").to_numpy()
     for key, n in size.items():
@@ -163,40 +174,48 @@ def nearest_pairs(entries: DataFrame, settings: Settings | None = None) -> DataF
                 rows = np.flatnonzero((code == of.index(key[0])) & (dims == key[1]))
                 near = c.nearest(_unit(batch, rows, key[1]).astype(np.float32), s.visits)
                 home = (ids[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-                parts = [(np.arange(len(rows)), near[:, 0], home % c.shards[near[:, 0]], True)]
+                group = lambda who, cell: (ids[rows[who]].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)).astype(np.int64) % c.copies[cell]
+                every = np.arange(len(rows))
+                at_home = home % c.shards[near[:, 0]]
+                # a stored vector joins the graph of its shard in every copy, and searches in its own
+                own = np.repeat(every, c.copies[near[:, 0]])
+                copy = np.arange(len(own)) - np.repeat(np.cumsum(c.copies[near[:, 0]]) - c.copies[near[:, 0]], c.copies[near[:, 0]])
+                parts = [(own, near[own, 0], at_home[own] * _COPIES + copy, np.where(copy == group(own, near[own, 0]), 2, 1))]
                 for v in range(near.shape[1]):
                     known = np.flatnonzero(near[:, v] >= 0)
                     count = c.shards[near[known, v]]
                     who = np.repeat(known, count)
                     shard = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
                     cell = near[who, v]
-                    other = (shard != home[who] % c.shards[cell]) if v == 0 else np.ones(len(who), bool)
-                    parts.append((who[other], cell[other], shard[other], False))
-                for who, cell, shard, stored in parts:
+                    other = (shard != at_home[who]) if v == 0 else np.ones(len(who), bool)
+                    who, cell, shard = who[other], cell[other], shard[other]
+                    parts.append((who, cell, shard * _COPIES + group(who, cell), np.zeros(len(who), np.int64)))
+                for who, cell, shard, role in parts:
                     if len(who):
                         b = batch.take(pa.array(rows[who]))
                         yield pa.RecordBatch.from_arrays(
-                            [b.column("index_name"), b.column("dimension"), pa.array(cell, pa.int64()), pa.array(shard, pa.int64()), pa.array(np.full(len(who), stored)), b.column("vec_id"), b.column("embedding")],
-                            names=["index_name", "dimension", "cell", "shard", "stored", "vec_id", "embedding"],
+                            [b.column("index_name"), b.column("dimension"), pa.array(cell, pa.int64()), pa.array(shard, pa.int64()), pa.array(role.astype(np.int8)), b.column("vec_id"), b.column("embedding")],
+                            names=["index_name", "dimension", "cell", "shard", "role", "vec_id", "embedding"],
                         )
 
     def search(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         name, dimension = table.column("index_name")[0].as_py(), table.column("dimension")[0].as_py()
-        ids, stored = table.column("vec_id").to_numpy(), table.column("stored").to_numpy(zero_copy_only=False)
+        ids, role = table.column("vec_id").to_numpy(), table.column("role").to_numpy()
         exact = _unit(table, np.arange(len(ids)), dimension)
         # repeated rows: the first of equal id and content
-        _, once = np.unique(np.concatenate([ids.view(np.uint8).reshape(len(ids), -1), stored[:, None].view(np.uint8), np.ascontiguousarray(exact).view(np.uint8).reshape(len(ids), -1)], axis=1), axis=0, return_index=True)
-        ids, stored, exact = ids[once], stored[once], exact[once]
-        own, guests = np.flatnonzero(stored), np.flatnonzero(~stored)
+        _, once = np.unique(np.concatenate([ids.view(np.uint8).reshape(len(ids), -1), role[:, None].view(np.uint8), np.ascontiguousarray(exact).view(np.uint8).reshape(len(ids), -1)], axis=1), axis=0, return_index=True)
+        ids, role, exact = ids[once], role[once], exact[once]
+        own, guests = np.flatnonzero(role > 0), np.flatnonzero(role == 0)
         none = np.zeros(0, np.int64)
         a, b, sim = none, none, np.zeros(0)
         if len(own):
             x = exact[own].astype(np.float32)
             g = PrunedGraph(x, s.degree, s.beam, s.alpha)
             reach = max(s.reach, 2 * s.k + 2)
-            found, _ = g.search(x, np.arange(len(own), dtype=np.int32)[:, None], beam=reach)
-            seek = [(own, found)]
+            asking = np.flatnonzero(role[own] == 2).astype(np.int32)
+            found, _ = g.search(x[asking], asking[:, None], beam=reach)
+            seek = [(own[asking], found)]
             if len(guests):
                 q = exact[guests].astype(np.float32)
                 seek.append((guests, g.search(q, np.broadcast_to(g.entry, (len(q), len(g.entry))), beam=s.beam)[0]))
@@ -218,7 +237,7 @@ def nearest_pairs(entries: DataFrame, settings: Settings | None = None) -> DataF
     first, rest = _crowds(usable, s.k)
     active = usable.join(rest.select("index_name", "dimension", "vec_id"), ["index_name", "dimension", "vec_id"], "left_anti")
     routed = active.select("index_name", "dimension", "vec_id", "embedding").mapInArrow(
-        route, "index_name string, dimension int, cell long, shard long, stored boolean, vec_id long, embedding array<float>"
+        route, "index_name string, dimension int, cell long, shard long, role byte, vec_id long, embedding array<float>"
     )
     found = routed.groupBy("index_name", "dimension", "cell", "shard").applyInArrow(search, out)
     key = ["index_name", "dimension", "copy"]
