@@ -47,8 +47,8 @@ def score_repetition(measured: DataFrame, key: str = "doc_id", rows: int = FIT_R
     as high as the corner where every statistic has the least value that a
     case can have.
     """
-    share = min(1.0, rows / max(1, measured.count()))
-    sample = measured.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000)).select(*STATISTICS).toPandas()
+    share = min(1 << 40, (rows << 40) // max(1, measured.count()))
+    sample = measured.filter(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < share).select(*STATISTICS).toPandas()
     x = sample.to_numpy(dtype=np.float64)
     y = ((x[:, 0] >= LEAST_SHARE) & (x[:, 1] >= LEAST_WORDS)).astype(np.float64)
     model = boosted_trees.fit(x, y, np.ones(len(STATISTICS), dtype=np.int64))
