@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from quiver.llm.repetition import slices
 
-_JOINER = "­​‌‍⁠﻿"  # soft hyphen and marks of no width
-_LETTER = rf"[^\W_]|[̀-ͯ{_JOINER}]"
+#: inside of words: combining marks, the soft hyphen and marks of no width; \w also has the underscore, which counts as a blank
+_LETTER = r"[\w\u0300-\u036f\u00ad\u200b-\u200d\u2060\ufeff]"
 #: a word: letters and digits, with hyphens and apostrophes inside, also where a line ends at the hyphen
-WORD = re.compile(rf"(?:{_LETTER})+(?:[-‐‑­](?:[^\S\n\r]*(?:\r\n|[\n\r])\s*)?(?:{_LETTER})+|['’](?:{_LETTER})+)*")
-_DROP = re.compile(rf"[\W_]+|[{_JOINER}]")
+WORD = re.compile(rf"{_LETTER}+(?:[-'\u2010\u2011\u2019](?:[ \t]*[\n\r]\s*)?{_LETTER}+)*")
+_DROP = re.compile(r"[\W_]+")
 _PLAIN = re.compile(r"[a-z0-9]+\Z")
 
 
@@ -45,6 +45,20 @@ class Settings:
     block: int = 20_000
 
 
+class _Codes(dict):
+    """Numbers of words as they stand in texts; words not met before are normalised, and remembered up to a bound."""
+
+    def __init__(self, number: dict[str, int], memory: int = 500_000):
+        super().__init__()
+        self.number, self.memory = number, memory
+
+    def __missing__(self, word: str) -> int:
+        code = self.number.get(normal(word), 0)
+        if len(self) < self.memory:
+            self[word] = code
+        return code
+
+
 class Items:
     """The automaton over all runs of ``seed`` words of the items, and the items' words by number."""
 
@@ -63,21 +77,21 @@ class Items:
             self.automaton.add_word(key, value)
         self.automaton.make_automaton()
         self.empty = not places
+        self.codes = _Codes(self.number)
 
     def passages(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, words reproduced, first and last character) of the passages in a text."""
         if self.empty or not text:
             return []
-        get = self.number.get
         found: dict[int, list[tuple[int, int]]] = {}
-        codes = tuple([get(w, 0) for w in map(normal, WORD.findall(text))])
+        codes = tuple(map(self.codes.__getitem__, WORD.findall(text)))
         seed, s = self.settings.seed, self.settings
         for end, value in self.automaton.iter(codes):
             for i, p in value:
                 found.setdefault(i, []).append((p, end - seed + 1))
         out, spans = [], None
         for i, hits in found.items():
-            if len(hits) < 3 and s.stretch >= 20:  # the least that such a stretch leaves, whatever is missing in it
+            if not self._dense(hits):
                 continue
             if spans is None:
                 spans = [m.span() for m in WORD.finditer(text)]
@@ -85,6 +99,24 @@ class Items:
                 out.append((self.names[i], best[0], spans[best[1]][0], spans[best[2]][1]))
         return out
 
+    def _dense(self, hits: list[tuple[int, int]]) -> bool:
+        """Whether some band of shifts has as many hits as a least stretch leaves, whatever is missing in it.
+
+        With e words missing and one page header the stretch falls into at most
+        e + 2 runs, and a run of n words has n - seed + 1 hits.
+        """
+        s = self.settings
+        missing = s.stretch // s.errors
+        least = max(1, s.stretch - missing - (s.seed - 1) * (missing + 2))
+        if len(hits) < least:
+            return False
+        bands: dict[int, set[int]] = {}
+        for p, d in hits:
+            k = (d - p) >> 5
+            bands.setdefault(k, set()).add(p)
+            bands.setdefault(k + 1, set()).add(p)
+        return max(map(len, bands.values())) >= least
+
     def _runs(self, i: int, hits: list[tuple[int, int]], codes: tuple[int, ...], reach: int) -> list[tuple[int, int, int]]:
         """Maximal runs (item place, document place, length) of equal words in and near the hits."""
         words, runs = self.words[i], set()
