@@ -39,7 +39,7 @@ class Settings:
     k: int = 5
     least: float = 0.9
     sample: int = 40_000
-    cell: int = 1200
+    cell: int = 400
     shard: int = 4096
     visits: int = 2
     degree: int = 16
