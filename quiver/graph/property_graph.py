@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DataType
@@ -188,6 +189,19 @@ class PropertyGraph:
             all_ = all_.unionByName(p)
         return all_.groupBy("table", "id").agg(F.count(F.lit(1)).alias("degree"))
 
+    def neighbours(self, label: str, direction: str = "both", types: tuple[str, ...] = ()) -> DataFrame:
+        """(id, type, table, other) of the nodes next to those of a vertex table."""
+        parts = []
+        for e in self.edges:
+            if types and e.type not in types:
+                continue
+            for side, own, table, end, far in (("out", e.src, e.source, e.dst, e.target), ("in", e.dst, e.target, e.src, e.source)):
+                if table == label and direction in (side, "both"):
+                    parts.append(e.df.select(F.expr(own).cast("long").alias("id"), F.lit(e.type).alias("type"), F.lit(far).alias("table"), F.expr(end).cast("long").alias("other")))
+        if not parts:
+            return self.spark.createDataFrame([], "id long, type string, table string, other long")
+        return reduce(lambda a, b: a.unionByName(b), parts).filter("id IS NOT NULL AND other IS NOT NULL")
+
     def counts(self) -> dict[str, int]:
         return {"nodes": sum(t.df.count() for t in self.nodes), "relationships": sum(e.df.count() for e in self.edges)}
 

@@ -384,12 +384,24 @@ class Matcher:
                 pn.append(b)
                 pr.append(rel)
                 return b
+        ends = h.ends()
+        if isinstance(bound_rel, RelB) and r.direction != "both" and len(ends) == 1:
+            # the relationship is there already, and with it the keys of its ends
+            near, far = (bound_rel.src, bound_rel.dst) if not h.options[0][1] else (bound_rel.dst, bound_rel.src)
+            kinds = tuple(dict.fromkeys(e.type for e, _ in h.options))
+            if set(kinds) < set(bound_rel.types):
+                s.df = s.df.filter(f"{bound_rel.type} IN ({', '.join(map(quoted, kinds))})")
+            if left is None:
+                left = self._from_edge(ln, near, None, {x for x, _ in ends})
+            else:
+                s.df = s.df.filter(self._same(left, near, None, {x for x, _ in ends}))
+            return self._arrive(bound_rel, far, None, {x for _, x in ends}, r, rn, right, wants, pn, pr)
         df, rel, a, b, ta, tb = scan_edges(s, h, r.var or "rel", r.direction == "both")
         if bound_rel is not None:
             if isinstance(bound_rel, ValB):
                 condition = F.expr(f"`{rel.id}` = {s.whole(r.var).sql}._id AND {rel.type} = {s.whole(r.var).sql}._type")
             else:
-                condition = F.expr(f"`{rel.id}` = `{bound_rel.id}` AND {rel.type} = {bound_rel.type}")
+                condition = F.expr(f"`{rel.id}` = `{bound_rel.id}` AND {rel.type} = {bound_rel.type} AND `{rel.src}` = `{bound_rel.src}` AND `{rel.dst}` = `{bound_rel.dst}`")
             if left is not None:
                 condition = condition & self._same(left, a, ta, {x for x, _ in h.ends()})
             self._add(df, condition)

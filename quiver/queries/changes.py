@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quiver.engine import Engine
 from quiver.graph.mapping import NodeMapping, RelationshipMapping, add_nodes, add_relationships
-from quiver.graph.property_graph import PropertyGraph
+from quiver.graph.property_graph import EdgeTable, IndexDef, NodeTable, PropertyGraph
 from quiver.queries.graphs import trade_graph
 from quiver.sources.files import read_csv, read_json_array, read_json_lines, write_csv, write_json_array, write_json_lines
 from quiver.streaming.ingest import file_stream, ingest, run_to_table, windowed_counts
@@ -153,12 +153,46 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
+def vector_query_relationships(spark: SparkSession, sf: str) -> DataFrame:
+    """The relationships nearest to a vector, by squared distance."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    nodes = (NodeTable("Group", e.select("label").distinct(), "label", ("Group",)), NodeTable("Embedding", e, "vec_id", ("Embedding",)))
+    index = IndexDef("rv", "VECTOR", "RELATIONSHIP", ("HAS",), ("embedding",), {"similarity": "euclidean"})
+    g = PropertyGraph(spark, nodes, (EdgeTable("HAS", e, "vec_id", "label", "vec_id", "Group", "Embedding"),), indexes=(index,))
+    v = list(e.orderBy("vec_id").select("embedding").first()[0])
+    out = Engine(g).execute("CALL db.index.vector.queryRelationships('rv', 10, $v) YIELD relationship, score", {"v": v})
+    return out.selectExpr("relationship._id AS vec_id", "relationship._src AS label", "round(score, 5) AS score")
+
+
+def fulltext_query_relationships(spark: SparkSession, sf: str) -> DataFrame:
+    g = replace(trade_graph(spark, sf), indexes=(IndexDef("rf", "FULLTEXT", "RELATIONSHIP", ("CONTAINS",), ("l_returnflag", "l_linestatus")),))
+    return Engine(g).execute("CALL db.index.fulltext.queryRelationships('rf', 'r f')").selectExpr("relationship._id AS k", "score")
+
+
+def graph_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return trade_graph(spark, sf).neighbours("Nation", "in").groupBy("id", "table").agg(F.count(F.lit(1)).alias("n"))
+
+
+def result_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows fetched through a cursor, one partition at a time."""
+    columns, rows = Engine(trade_graph(spark, sf)).stream("MATCH (n:Nation)-[:IN_REGION]->(r) RETURN n.n_name AS n, r.r_name AS r")
+    return spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"{c} string" for c in columns))
+
+
 QUERIES = {name: _steps(name) for name in STEPS} | {
+    "vector_query_relationships": vector_query_relationships, "fulltext_query_relationships": fulltext_query_relationships, "graph_neighbours": graph_neighbours, "result_stream": result_stream,
     "graph_degree": graph_degree, "graph_save_load": graph_save_load, "files_csv": files_csv, "files_json_lines": files_json_lines,
     "files_json_array": files_json_array, "mapping_import": mapping_import, "stream_import": stream_import, "stream_windows": stream_windows,
 }
 
 SQL = {name: sql for name, (_, _, sql) in STEPS.items()} | {
+    "vector_query_relationships": """
+WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
+  d AS (SELECT vec_id, label, list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM embeddings, q)
+SELECT vec_id, CAST(label AS BIGINT) AS label, round(1 / (1 + d), 5) AS score FROM d ORDER BY d, vec_id LIMIT 10""",
+    "fulltext_query_relationships": "SELECT l_orderkey * 10 + l_linenumber AS k, CAST(2 AS DOUBLE) AS score FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'",
+    "graph_neighbours": "SELECT n_nationkey::BIGINT AS id, 'Customer' AS \"table\", count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT n_nationkey, 'Supplier', count(*) FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1",
+    "result_stream": "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON r_regionkey = n_regionkey",
     "graph_degree": """
 WITH d AS (
   SELECT 'Customer' AS t, o_custkey AS k FROM orders UNION ALL SELECT 'Order', o_orderkey FROM orders

@@ -107,6 +107,18 @@ TEXTS: dict[str, tuple[str, str]] = {
         "MATCH (n:Nation) WHERE n.n_nationkey < 5 MATCH (n)<-[:IN_NATION]-(c:Customer) RETURN n.n_name AS n, c.c_custkey AS c",
         "SELECT n_name AS n, c_custkey AS c FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey < 5",
     ),
+    "bound_relationship": (
+        "MATCH (s:Supplier {s_suppkey: 3})-[r:SUPPLIED]->(o) MATCH (x:Supplier)-[r]->(y:Order) WHERE y.o_orderstatus = 'F' RETURN id(r) AS r, x.s_name AS s, y.o_orderkey AS o",
+        "SELECT l_orderkey * 10 + l_linenumber AS r, s_name AS s, o_orderkey AS o FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey WHERE s_suppkey = 3 AND o_orderstatus = 'F'",
+    ),
+    "parameter_map": (
+        "MATCH (c:Customer $m) RETURN c.c_custkey AS k",
+        "SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 7",
+    ),
+    "all_nodes_by_label": (
+        "MATCH (n) RETURN labels(n)[0] AS l, count(*) AS n",
+        "SELECT 'Region' AS l, count(*) AS n FROM region UNION ALL SELECT 'Nation', count(*) FROM nation UNION ALL SELECT 'Customer', count(*) FROM customer UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Part', count(*) FROM part UNION ALL SELECT 'Order', count(*) FROM orders UNION ALL SELECT 'Event', count(*) FROM events UNION ALL SELECT 'Document', count(*) FROM documents UNION ALL SELECT 'Embedding', count(*) FROM embeddings UNION ALL SELECT 'User', count(DISTINCT user_id) FROM events",
+    ),
     "optional_match": (
         "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 200000 RETURN c.c_custkey AS c, o.o_orderkey AS o",
         "SELECT c_custkey AS c, o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 200000",
@@ -305,7 +317,7 @@ def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
             e = spark.read.parquet(f"{sf}/embeddings.parquet")
             v = e.orderBy("vec_id").select("embedding").first()[0]
             return engine.execute(text, {"v": list(v)}).selectExpr("node._id AS vec_id", "round(score, 5) AS score")
-        out = engine.execute(text)
+        out = engine.execute(text, {"m": {"c_mktsegment": "BUILDING", "c_nationkey": 7}} if name == "parameter_map" else None)
         return out.selectExpr("node._id AS doc_id", "score") if name == "fulltext_query_nodes" else out
 
     return run

@@ -7,12 +7,14 @@ runs in one process (tests) a temporary folder takes its place.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quiver/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes when the program ends, or by ``release``."""
+    path = f"{shared_dir(spark)}/quiver/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(lambda: release(spark))
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch tables of this program; frames that read them can't be used any more."""
+    while _made:
+        try:
+            delete_path(spark, _made.pop())
+        except Exception:  # the JVM is gone: the folder's owner cleans up
+            _made.clear()
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -1,9 +1,10 @@
 import pytest
 
 from graphs import social
-from quiver.engine import Engine
+from quiver.engine import Engine, TransactionConflict
 from quiver.graph.mapping import NodeMapping, RelationshipMapping, add_nodes, add_relationships
 from quiver.graph.property_graph import PropertyGraph
+from quiver.graph.results import encode
 from quiver.plans.expressions import QueryError
 from quiver.plans.mutations import ConstraintViolation
 
@@ -118,3 +119,51 @@ def test_save_load_and_mapping(s, spark, tmp_path):
     g = add_relationships(add_nodes(PropertyGraph(spark), people, NodeMapping("P", "k")), links, RelationshipMapping("L", "P", "n", "f", "P", "n", "t", {"w": "w"}))
     assert rows(Engine(g), "MATCH (x:P)-[l:L]->(y) RETURN x.n, l.w, y.n") == [("a", 1, "b")] * 2
     assert g.degree().collect() and rows(Engine(g), "MATCH (p:P) RETURN count(p)") == [(2,)]
+
+
+def test_transactions(s):
+    with s.transaction() as t:
+        t.execute("CREATE (:User {name: 'T'})")
+        t.savepoint("one")
+        t.execute("MATCH (n:User) DETACH DELETE n")
+        assert t.execute("MATCH (n) RETURN n").count() == 0
+        t.rollback_to("one")
+        assert s.graph.counts()["nodes"] == 3
+    assert s.graph.counts()["nodes"] == 4
+    with pytest.raises(RuntimeError):
+        with s.transaction() as t:
+            t.execute("CREATE (:User)")
+            raise RuntimeError
+    assert s.graph.counts()["nodes"] == 4
+    t = s.transaction(read_only=True)
+    with pytest.raises(QueryError):
+        t.execute("CREATE (:X)")
+    assert t.execute("MATCH (n) RETURN n").count() == 4
+    t.rollback()
+    with pytest.raises(QueryError):
+        t.execute("RETURN 1")
+    a, b = s.transaction(), s.transaction()
+    for x in (a, b):
+        x.execute("CREATE (:X)")
+    a.commit()
+    with pytest.raises(TransactionConflict):
+        b.commit()
+
+
+def test_cursor_profile_formats_timeout(s):
+    columns, it = s.stream("MATCH (n:User {name: 'Nobody'}) RETURN n.name AS a, n.age AS b")
+    assert columns == ["a", "b"] and list(it) == []
+    p = s.profile("MATCH (n:User) RETURN n.name")
+    assert p["rows"] == 3 and "Scan" in p["plan"]
+    assert s.explain("CREATE (:X)") == "Create" and s.graph.counts()["nodes"] == 3
+    text = "MATCH p = (a {name: 'Alice'})-[r:FOLLOWS]->(b) RETURN a, r, p, date('2024-01-02') AS d"
+    g = encode(s.execute(text))
+    assert sorted(n["properties"]["name"] for n in g["nodes"]) == ["Alice", "Bob"] and g["relationships"][0]["properties"] == {"since": 2020}
+    assert encode(s.execute(text), "rows")["rows"][0]["d"] == "2024-01-02"
+    assert encode(s.execute(text), "row_arrays")["rows"][0][1]["type"] == "FOLLOWS"
+    assert set(encode(s.execute(text), "combined")) == {"columns", "rows", "nodes", "relationships"}
+    with pytest.raises(ValueError):
+        encode(s.execute(text), "xml")
+    assert s.collect("RETURN 1 AS a", timeout=60)[0].a == 1
+    with pytest.raises(TimeoutError):
+        s.collect("UNWIND range(1, 3000) AS a UNWIND range(1, 3000) AS b UNWIND range(1, 3000) AS c RETURN sum(a * b + c)", timeout=1.5)
