@@ -188,12 +188,12 @@ def find_passages(documents: DataFrame, items: DataFrame, settings: Settings | N
     to_char: their place in the original text, in code points.
 
     Null and empty texts have no passages; items of fewer words than
-    ``stretch`` can't be found; an item given twice counts once.  The items,
+    ``stretch``, without a text or without an id can't be found; an item given twice counts once.  The items,
     held-out tests, are of a fixed size; more than ``block`` of them are taken
     block by block, each with an automaton and a scan of its own.
     """
     s = settings or Settings()
-    rows = items.select(F.col(item).alias("_i"), F.col(item_text).alias("_t")).filter(F.col("_t").isNotNull()).distinct()
+    rows = items.select(F.col(item).alias("_i"), F.col(item_text).alias("_t")).filter(F.col("_i").isNotNull() & F.col("_t").isNotNull()).distinct()
     source = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kinds = dict(source.dtypes)["_key"], dict(rows.dtypes)["_i"]
     schema = f"`{key}` {kinds[0]}, `{item}` {kinds[1]}, words int, from_char int, to_char int"
