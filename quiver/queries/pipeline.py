@@ -41,7 +41,7 @@ def p2_rows(spark: SparkSession, sf: str) -> DataFrame:
         columns.setdefault(r.layout_id, []).append((r.name, r.ty))
     parsed = parse_lines(table(spark, sf, "csv_line").dropDuplicates(["line_id", "raw"]), header).filter(F.col("reason").isNull())
     rows = [F.when(F.col("layout_id") == layout, F.to_json(F.struct(*typed_columns(c, [])))) for layout, c in columns.items()]
-    return parsed.select("line_id", "layout_id", F.coalesce(*rows).alias("typed"))
+    return parsed.select("line_id", "layout_id", F.coalesce(F.lit(None).cast("string"), *rows).alias("typed"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
