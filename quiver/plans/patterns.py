@@ -162,6 +162,7 @@ class Matcher:
     def __init__(self, scope: Scope, used: set[str], given: set[str] = frozenset()):
         self.s, self.used, self.given = scope, used, given
         self.tables: dict[object, list[str]] = {}
+        self.reached: set[str] = set()  # vertex tables that nodes of the present path come from
 
     # -- tables of each node ----------------------------------------------
     def _key(self, n: A.NodeP):
@@ -319,6 +320,8 @@ class Matcher:
         return out
 
     def _path(self, p: A.PathP, hops: dict[int, Hop]) -> None:
+        self.reached = {t for n in p.nodes for t in self.tables[self._key(n)]} if not p.rels or any(r.length is None for r in p.rels) else set()
+        self.reached |= {t for r in p.rels for pair in hops[id(r)].ends() for t in pair}
         if p.shortest:
             self._shortest(p, hops)
             return
@@ -462,7 +465,7 @@ class Matcher:
 
     # -- variable length --------------------------------------------------
     def _node_fields(self) -> dict[str, str]:
-        return {p: t.simpleString() for p, t in _fields(self.s.graph.nodes).items()}
+        return {p: t.simpleString() for p, t in _fields([t for t in self.s.graph.nodes if t.name in self.reached]).items()}
 
     def _rel_struct(self, rel: RelB, fields: dict[str, str]) -> str:
         props = "".join(f", {quoted(k)}, CAST({f'`{rel.props[k]}`' if k in rel.props else 'NULL'} AS {t})" for k, t in fields.items())
@@ -488,9 +491,9 @@ class Matcher:
         return df.selectExpr(*cols), step, one_t
 
     def _node_list(self, step: str) -> DataFrame:
-        """All nodes as structs of one type, by key."""
+        """The nodes that a path can reach as structs of one type, by key."""
         parts, fields = [], self._node_fields()
-        for t in self.s.graph.nodes:
+        for t in [t for t in self.s.graph.nodes if t.name in self.reached]:
             df, b = scan_nodes(self.s, [t], "hop")
             parts.append(df.selectExpr(f"CAST(`{b.id}` AS BIGINT) AS `{step}_nk`", f"{quoted(t.name)} AS `{step}_nt`", f"{node_struct(b, fields)} AS `{step}_n`"))
         return reduce(lambda x, y: x.unionByName(y), parts)
@@ -577,21 +580,30 @@ class Matcher:
         left = self._start(p.nodes[0])
         c = s.fresh("bfs")
         step_df, step, one_table = self._step(h, r, True)
-        nodes = self._node_list(step)
-        rel_type, node_type = step_df.schema[f"{step}_r"].dataType.simpleString(), nodes.schema[f"{step}_n"].dataType.simpleString()
+        hydrated = p.var is not None
+        rel_type = step_df.schema[f"{step}_r"].dataType.simpleString()
         tab = f"`{left.tab}`" if left.tab else quoted(left.tables[0])
         starts = s.df.selectExpr(f"CAST(`{left.id}` AS BIGINT) AS `{c}_s`", f"{tab} AS `{c}_st`").filter(f"`{c}_s` IS NOT NULL").distinct()
-        front = materialise(starts.selectExpr("*", f"`{c}_s` AS `{c}_at`", f"`{c}_st` AS `{c}_tab`", f"CAST(array() AS ARRAY<{rel_type}>) AS `{c}_rels`", f"CAST(array() AS ARRAY<{node_type}>) AS `{c}_nodes`"), "bfs")
+        empty = [f"CAST(array() AS ARRAY<{rel_type}>) AS `{c}_rels`"]
+        if hydrated:
+            nodes = self._node_list(step)
+            empty.append(f"CAST(array() AS ARRAY<{nodes.schema[f'{step}_n'].dataType.simpleString()}>) AS `{c}_nodes`")
+        front = materialise(starts.selectExpr("*", f"`{c}_s` AS `{c}_at`", f"`{c}_st` AS `{c}_tab`", *empty), "bfs")
         key = [f"{c}_s", f"{c}_st", f"{c}_at", f"{c}_tab"]
+        carried = [f"{c}_rels", *([f"{c}_nodes"] if hydrated else [])]
         seen, found = front.select(*key), [front] if low == 0 else []
         for _ in range(high):
             on = F.expr(f"`{c}_at` = `{step}_a`" + ("" if one_table else f" AND `{c}_tab` = `{step}_ta`"))
-            nxt = front.join(step_df, on).join(nodes, F.expr(f"`{step}_b` = `{step}_nk` AND `{step}_tb` = `{step}_nt`"))
-            nxt = nxt.selectExpr(f"`{c}_s`", f"`{c}_st`", f"CAST(`{step}_b` AS BIGINT) AS `{c}_at`", f"`{step}_tb` AS `{c}_tab`", f"array_append(`{c}_rels`, `{step}_r`) AS `{c}_rels`", f"array_append(`{c}_nodes`, `{step}_n`) AS `{c}_nodes`")
+            nxt = front.join(step_df, on)
+            moved = [f"array_append(`{c}_rels`, `{step}_r`) AS `{c}_rels`"]
+            if hydrated:
+                nxt = nxt.join(nodes, F.expr(f"`{step}_b` = `{step}_nk` AND `{step}_tb` = `{step}_nt`"))
+                moved.append(f"array_append(`{c}_nodes`, `{step}_n`) AS `{c}_nodes`")
+            nxt = nxt.selectExpr(f"`{c}_s`", f"`{c}_st`", f"CAST(`{step}_b` AS BIGINT) AS `{c}_at`", f"`{step}_tb` AS `{c}_tab`", *moved)
             nxt = nxt.join(seen, key, "left_anti")
             if p.shortest == "one":
-                least = F.min(F.struct(F.transform(f"{c}_rels", lambda x: x["_id"]).alias("k"), F.col(f"{c}_rels").alias("r"), F.col(f"{c}_nodes").alias("n"))).alias("m")
-                nxt = nxt.groupBy(*key).agg(least).selectExpr(*[f"`{k}`" for k in key], f"m.r AS `{c}_rels`", f"m.n AS `{c}_nodes`")
+                least = F.min(F.struct(F.transform(f"{c}_rels", lambda x: x["_id"]).alias("k"), *[F.col(x) for x in carried])).alias("m")
+                nxt = nxt.groupBy(*key).agg(least).selectExpr(*[f"`{k}`" for k in key], *[f"m.`{x}` AS `{x}`" for x in carried])
             front = materialise(nxt, "bfs")
             if front.isEmpty():
                 break

@@ -189,7 +189,7 @@ SQL = {name: sql for name, (_, _, sql) in STEPS.items()} | {
     "vector_query_relationships": """
 WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
   d AS (SELECT vec_id, label, list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM embeddings, q)
-SELECT vec_id, CAST(label AS BIGINT) AS label, round(1 / (1 + d), 5) AS score FROM d ORDER BY d, vec_id LIMIT 10""",
+SELECT vec_id, label, round(1 / (1 + d), 5) AS score FROM d ORDER BY d, vec_id LIMIT 10""",
     "fulltext_query_relationships": "SELECT l_orderkey * 10 + l_linenumber AS k, CAST(2 AS DOUBLE) AS score FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'",
     "graph_neighbours": "SELECT n_nationkey::BIGINT AS id, 'Customer' AS \"table\", count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT n_nationkey, 'Supplier', count(*) FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1",
     "result_stream": "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON r_regionkey = n_regionkey",

@@ -152,8 +152,8 @@ TEXTS: dict[str, tuple[str, str]] = {
         "SELECT s_suppkey AS s, r_name AS r, CAST(2 AS BIGINT) AS len FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey",
     ),
     "all_shortest_paths": (
-        "MATCH (s:Supplier {s_suppkey: 1}), (t:Supplier) WHERE t.s_suppkey <> 1 MATCH p = allShortestPaths((s)-[:IN_NATION*..2]-(t)) RETURN t.s_suppkey AS t, count(*) AS n, min(length(p)) AS len",
-        "SELECT t.s_suppkey AS t, count(*) AS n, CAST(2 AS BIGINT) AS len FROM supplier s JOIN supplier t ON t.s_nationkey = s.s_nationkey AND t.s_suppkey <> 1 JOIN nation ON n_nationkey = s.s_nationkey WHERE s.s_suppkey = 1 GROUP BY 1",
+        "MATCH (s:Supplier), (t:Supplier) WHERE s.s_suppkey < 10 AND t.s_suppkey <> s.s_suppkey MATCH p = allShortestPaths((s)-[:IN_NATION*..2]-(t)) RETURN s.s_suppkey AS s, t.s_suppkey AS t, count(*) AS n, min(length(p)) AS len",
+        "SELECT s.s_suppkey AS s, t.s_suppkey AS t, count(*) AS n, CAST(2 AS BIGINT) AS len FROM supplier s JOIN supplier t ON t.s_nationkey = s.s_nationkey AND t.s_suppkey <> s.s_suppkey JOIN nation ON n_nationkey = s.s_nationkey WHERE s.s_suppkey < 10 GROUP BY 1, 2",
     ),
     # -- projection, order, sets ------------------------------------------
     "filter": ("MATCH (o:Order) WHERE o.o_orderpriority IN ['1-URGENT', '2-HIGH'] AND NOT o.o_orderstatus = 'O' RETURN o.o_orderkey AS k", "SELECT o_orderkey AS k FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND NOT o_orderstatus = 'O'"),
@@ -272,8 +272,8 @@ TEXTS: dict[str, tuple[str, str]] = {
         "SELECT p_partkey AS k, p_size > 40 AS a, p_size > 9 AS b, false AS c, p_size <> 20 AS d FROM part",
     ),
     "expr_map": (
-        "MATCH (c:Customer) WITH c{.c_name, .c_acctbal, twice: c.c_acctbal * 2} AS m RETURN m.c_name AS name, m['twice'] AS t, m.missing AS x",
-        "SELECT c_name AS name, c_acctbal * 2 AS t, NULL AS x FROM customer",
+        "MATCH (c:Customer) WITH c{.c_name, .c_acctbal, twice: c.c_acctbal * 2} AS m RETURN m.c_name AS name, m['twice'] AS t, coalesce(m.missing, 'none') AS x",
+        "SELECT c_name AS name, c_acctbal * 2 AS t, 'none' AS x FROM customer",
     ),
     "expr_cast": (
         "MATCH (o:Order) RETURN o.o_orderkey AS k, o.o_orderkey::STRING AS a, CAST(o.o_totalprice AS INTEGER) AS b, TRY_CAST(o.o_orderstatus AS INTEGER) AS c, (o.o_orderkey AS FLOAT) AS d, toBoolean('TRUE') AS e",
