@@ -136,7 +136,7 @@ class Items:
             change = np.diff(same)
             for a, b in zip(np.flatnonzero(change == 1), np.flatnonzero(change == -1)):
                 runs.add((int(lo + a), int(lo + a + k), int(b - a)))
-        return sorted(runs)
+        return sorted(runs, key=lambda r: (r[1], r[0]))
 
     def _align(self, i: int, hits: list[tuple[int, int]], codes: tuple[int, ...], spans, text: str) -> tuple[int, int, int] | None:
         """The longest passage of item i: (words of the item, first and last word of the document), or None."""
@@ -144,14 +144,18 @@ class Items:
         runs = self._runs(i, hits, codes, 3)
         n = len(self.words[i])
         best = None
+        # runs come by document place, and only those close before one can be its forerunners
+        window = s.header + s.stretch // s.errors + 4 + max((r[2] for r in runs), default=0)
         # chains of runs: (first item place, matched, missing) with the last run's end; all that no other beats are kept
         chains: list[list[tuple[int, int, int, int]]] = []
         for r, (p, d, size) in enumerate(runs):
             own = [(p, size, 0, d)]
             for q in range(r - 1, -1, -1):
                 pp, dd, length = runs[q]
-                if p - pp > 4 * s.stretch + length:
+                if d - dd > window:
                     break
+                if pp >= p:
+                    continue
                 skip, jump = p - (pp + length), d - (dd + length)
                 cut = max(0, -skip, -jump)  # words that both runs claim count once
                 if cut >= min(size, length) or skip > s.stretch // s.errors + 2:

@@ -40,6 +40,19 @@ def test_parts_and_errors():
     assert hits(f"{' '.join(WORDS[:11])} {fill(40, 5)} {' '.join(WORDS[11:22])}") == []
 
 
+def test_spam_takes_time_in_proportion():
+    import time
+
+    took = []
+    for n in (1500, 6000):
+        text = f" {fill(3, 9)} ".join([" ".join(WORDS[2:14])] * n)
+        began = time.process_time()
+        assert hits(text) == []
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * max(took[0], 0.05)
+    assert hits(f"{text} {ITEM}") == [1]
+
+
 def test_offsets_and_frames(spark):
     body = f"§ é🙂 {fill(20, 6)} {ITEM} {fill(10, 7)}"
     rows = [(1, body, 0), (2, None, 0), (3, "", 0), (4, f"{ITEM} {fill(60000, 8)} {ITEM}", 0), (5, ITEM, 1), (5, ITEM, 1)]
