@@ -134,7 +134,7 @@ def taken_in(records: DataFrame, runs: DataFrame, snapshots: DataFrame, bucket:
     ok = runs.filter(F.col("status") == "ok").select("shard_id", "snapshot_id", "from_lsn", "upto_lsn", "started_at").distinct()
     floors = (
         ok.filter(F.col("snapshot_id").isNotNull())
-        .join(snapshots.select("snapshot_id", "shard_id", "wal_lsn").distinct(), ["snapshot_id", "shard_id"])
+        .join(snapshots.groupBy("snapshot_id").agg(F.max("wal_lsn").alias("wal_lsn")), "snapshot_id")
         .groupBy("shard_id").agg(F.max("wal_lsn").alias("floor"))
     )
     ranges = ok.filter(F.col("snapshot_id").isNull() & (F.col("from_lsn") < F.col("upto_lsn")) & F.col("started_at").isNotNull())

@@ -187,3 +187,34 @@ def test_plans_are_pruned_and_pushed_down(spark, data):
     scans = lambda text: text.count("Scan parquet") // 2  # in the tree and in the details
     assert scans(plan) == 2  # the foreign key costs no join of its own
     assert scans(e.explain("MATCH ()-[l:CONTAINS]->() RETURN count(*) AS n")) == 1
+
+
+def test_more_projections(o, spark):
+    assert rows(o, "MATCH (p:Person) RETURN p.dept AS d, count(*) AS c ORDER BY count(*) DESC, d") == [("Engineering", 4), ("Marketing", 2)]
+    assert rows(o, "MATCH (p:Person) WITH DISTINCT p.dept AS d RETURN d ORDER BY d") == [("Engineering",), ("Marketing",)]
+    assert rows(o, "MATCH (p:Person)-[:LIVES_IN]->(c) WITH c, count(p) AS n ORDER BY n DESC, c.name LIMIT 1 RETURN c.name, n") == [("London", 3)]
+    assert rows(o, "MATCH (p:Person) RETURN p{.name, old: p.age > 40} AS m ORDER BY m.name LIMIT 1")[0][0].asDict() == {"name": "Alice", "old": False}
+    assert rows(o, "MATCH (p:Person) WHERE p.name IN $names RETURN p.name ORDER BY p.name", names=["Bob", "Eve", "Zoe"]) == [("Bob",), ("Eve",)]
+    assert rows(o, "MATCH (p:Person) RETURN avg(p.age) > 30 AS a, count(*) % 4 AS b, toString(max(p.age)) + '!' AS c") == [(True, 2, "50!")]
+    assert rows(o, "MATCH (a:Person)-[:MANAGES]->(b) WITH a, collect(DISTINCT b.dept) AS ds RETURN a.name, ds ORDER BY a.name") == [("Carol", ["Marketing"]), ("Frank", ["Engineering"])]
+    assert rows(o, "MATCH (p:Person {name: 'Alice'})-[:WORKS_AT]->(c) WITH * RETURN p.name, c.name") == [("Alice", "Acme")]
+    assert rows(o, "MATCH (n:Manager) RETURN n")[0][0].name == "Frank"
+    assert rows(o, "UNWIND [[1, 2], [3]] AS l UNWIND l AS x RETURN sum(x)") == [(6,)]
+    assert rows(o, "RETURN [x IN [1, 2] | [y IN [10, 20] WHERE y > x * 10 | x + y]] AS v") == [([[21], []],)]
+    assert rows(o, "UNWIND range(1, 4) AS x WITH x ORDER BY x DESC WITH collect(x) AS l RETURN l, size(l)") == [([4, 3, 2, 1], 4)]
+    t = build(spark, [(["D"], {"tags": ["a", "b"], "k": 1}), (["D"], {"tags": None, "k": 2})], [])
+    assert rows(t, "MATCH (d:D) RETURN d.tags[0], size(d.tags), 'b' IN d.tags, [x IN d.tags | x + '!'] ORDER BY d.k") == [("a", 2, True, ["a!", "b!"]), (None, None, None, None)]
+    assert sorted(rows(t, "MATCH (d:D) CALL { MATCH (d) RETURN d.k AS v UNION ALL MATCH (d) RETURN d.k * 10 AS v } RETURN v")) == [(1,), (2,), (10,), (20,)]
+
+
+def test_patterns_meet(o):
+    assert rows(o, "MATCH (a:Person)-[:LIVES_IN]->(c:City)<-[:LIVES_IN]-(b:Person) WHERE a.name < b.name RETURN a.name, b.name, c.name ORDER BY a.name, b.name") == [
+        ("Alice", "Carol", "London"), ("Alice", "Eve", "London"), ("Bob", "Dave", "Berlin"), ("Carol", "Eve", "London"),
+    ]
+    assert rows(o, "MATCH (f:Manager)-[:MANAGES]->(p)-[a:ASSIGNED_TO]->(x) WITH x, collect(a.role) AS roles RETURN x.name, list.sort(roles)") == [("Alpha", ["dev", "dev", "lead"])]
+    assert rows(o, "MATCH (p:Person) OPTIONAL MATCH (p)-[:MANAGES]->(q) WITH p, count(q) AS n WHERE n = 0 RETURN count(p)") == [(4,)]
+    assert rows(o, "MATCH (p:Person)-[r:WORKS_AT {since: 2012}]->() RETURN p.name, edge.properties(r).since, edge.keys(r)") == [("Frank", 2012, ["since"])]
+    assert rows(o, "MATCH (a:Person {name: 'Frank'})-[:MANAGES*1..1]->(b)-[:LIVES_IN]->(c) RETURN b.name, c.name ORDER BY b.name") == [("Alice", "London"), ("Bob", "Berlin"), ("Eve", "London")]
+    assert rows(o, "MATCH (a:Person {name: 'Frank'}) MATCH p = (a)-[:MANAGES]->()-[:ASSIGNED_TO*]->(x) RETURN DISTINCT x.name, length(p)") == [("Alpha", 2)]
+    assert rows(o, "MATCH (a)-[r:MANAGES]->(b) MATCH (x)-[r]->(y) RETURN count(*)") == [(4,)]
+    assert rows(o, "MATCH (x:Project), (c:Company) RETURN count(*)") == [(2,)]
