@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quiver.operators.cdc import SEQ, EqualityDeleteTable, committed_mutations, last_checkpoints, touched_and_present
-from quiver.operators.incremental import HASH, ChangeState, taken_in
+from quiver.operators.incremental import ChangeState, taken_in
 from quiver.operators.log import placed_records
 from quiver.operators.selection import select_rank
 from quiver.operators.snapshots import as_set, consecutive, snapshot_changes
