@@ -24,9 +24,9 @@ UNROLLED = 3  # hops up to which a variable-length pattern is one plan
 
 
 # -- which columns a query asks for --------------------------------------
-def usage(clauses) -> set[str]:
-    """Variables of which more than the key is used anywhere."""
-    used: set[str] = set()
+def usage(clauses) -> set:
+    """Variables that are used as a whole, and (variable, property) for those of which a property is."""
+    used: set = set()
 
     def visit(e):
         if isinstance(e, (tuple, list)):
@@ -40,6 +40,8 @@ def usage(clauses) -> set[str]:
             pass
         elif isinstance(e, A.Item) and isinstance(e.expr, A.Var) and e.name != e.expr.name:
             used.add(e.expr.name)
+        elif isinstance(e, A.Prop) and isinstance(e.of, A.Var):
+            used.add((e.of.name, e.key))
         elif isinstance(e, A.Var):
             used.add(e.name)
         elif isinstance(e, A.Projection):
@@ -223,8 +225,18 @@ class Matcher:
             return n.props is not None or any(self.s.graph.node_table(t).label_column for t in self.tables[self._key(n)]) and bool(n.labels)
         if n.props is not None or n.var and (n.var in self.used or "*" in self.used):
             return True
+        key = self._key_property(self.tables[self._key(n)])
+        if n.var and any(isinstance(u, tuple) and u[0] == n.var and u[1] != key for u in self.used):
+            return True
         return bool(n.labels) and any(t.label_column for t in self._node_tables(n))
 
+    def _key_property(self, tables) -> str | None:
+        """The property that is the key of the one vertex table; an edge's end holds it too."""
+        if len(tables) != 1:
+            return None
+        t = self.s.graph.node_table(next(iter(tables)))
+        return t.id if t.id in t.properties else None
+
     def _add(self, df: DataFrame, condition=None) -> None:
         if self.s.df is None:
             self.s.df = df if condition is None else df.filter(condition)
@@ -433,7 +445,8 @@ class Matcher:
         """A node of which only the key is known, from an edge's end."""
         t = tuple(sorted(tables))
         labels = _labels(self.s.graph.node_table(t[0])) if len(t) == 1 and not self.s.graph.node_table(t[0]).label_column else "CAST(NULL AS ARRAY<STRING>)"
-        b = NodeB(column, t, tab.strip("`") if tab else None, labels, {}, [column])
+        key = self._key_property(t)
+        b = NodeB(column, t, tab.strip("`") if tab else None, labels, {key: column} if key else {}, [column])
         if n.var:
             self.s.vars[n.var] = b
         return b
@@ -699,7 +712,7 @@ def _apart(outer: Scope, paths, where, used: set[str]) -> tuple[Scope, list, lis
     inner.df, inner.hidden = None, []
     inside = {v for v in variables(paths)}
     early = where is not None and (names_in(where) <= inside - set(shared) or any(isinstance(x, (A.Exists, A.PatternComp)) for x in walk(where)))
-    Matcher(inner, used | (names_in(where) if early else set()), set() if early else set(shared)).match(paths)
+    Matcher(inner, used | (usage((where,)) if early else set()), set() if early else set(shared)).match(paths)
     if early:
         inner.df = inner.df.filter(inner.boolean(inner.compile(where)))
     on = []
