@@ -31,6 +31,15 @@ def test_random_texts(exact):
     assert 0 < e.merged  # some words failed the check of pairs and were merged
 
 
+def test_second_implementation(exact):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    t.encode_special_tokens = True
+    texts = ["The 12 o'clock \u2014 na\u00efve\n\n  caf\u00e9s", "<|endoftext|>x", "\u65e5\u672c\u8a9e \U0001f642\U0001f642", "\u00a7\u00a7 17a, 18b BGB", "a\u0301\u00a0b\tc"]
+    assert Encoder(exact[0]).encode(texts).to_pylist() == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_documents(spark, exact, data):
     _, reference = exact
     docs = spark.read.parquet(f"{data}/documents.parquet")
