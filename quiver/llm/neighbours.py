@@ -1,8 +1,10 @@
 """The most similar vectors for every vector, by robust-pruned graphs over shards.
 
 Cells: of each collection, centroids are fitted on a bounded sample.  A vector
-is stored in the cell of its nearest centroid, and searches that cell and the
-next nearest ones.  A cell that the sample shows to be large is split into
+is stored in the cell of its nearest centroid, and searches that cell, the
+next nearest ones and all others whose centroids are about as similar to it:
+how near a pair lies to the border of its cells doesn't depend on how many
+cells there are, so neither does the share of pairs that are met.  A cell that the sample shows to be large is split into
 shards by a hash, and a search goes to each of its shards.  In a shard, a
 robust-pruned directed graph is built over the stored vectors and beam
 searches give every stored or visiting vector its candidates; their exact
@@ -32,7 +34,8 @@ class Settings:
     """k: neighbours of each vector; least: least cosine similarity of a result;
     sample: most vectors to fit the cells of all collections on; cell: vectors
     a cell is planned for; shard: vectors at which a cell is split; visits:
-    cells that a vector searches; degree, beam, alpha, reach: the graph's
+    cells that a vector searches at least; margin: it also searches every cell
+    whose centroid is less similar by at most this than the nearest; degree, beam, alpha, reach: the graph's
     edges, its beam when built, its relaxation, and the beam of the searches.
     """
 
@@ -42,6 +45,7 @@ class Settings:
     cell: int = 400
     shard: int = 4096
     visits: int = 2
+    margin: float = 0.04
     degree: int = 16
     beam: int = 32
     alpha: float = 1.2
@@ -61,22 +65,46 @@ class Cells:
     copies: np.ndarray
     groups: list[np.ndarray] = field(default_factory=list)
     coarse: np.ndarray | None = None
+    spread: np.ndarray | None = None  # the widest angle between a coarse centroid and one of its group
 
-    def nearest(self, x: np.ndarray, r: int) -> np.ndarray:
-        """The numbers of the ``r`` nearest cells of each row, nearest first (-1: none)."""
-        r = min(r, len(self.centroids))
+    def _similarities(self, x: np.ndarray, r: int, margin: float) -> np.ndarray:
+        """Of each row to each centroid; -inf for those that can neither be among the ``r`` nearest nor within ``margin`` of the nearest."""
         if self.coarse is None:
-            return np.argsort(-(x @ self.centroids.T), axis=1, kind="stable")[:, :r]
-        best, sim = np.full((len(x), r), -1, dtype=np.int64), np.full((len(x), r), -np.inf)
-        probe = np.argsort(-(x @ self.coarse.T), axis=1)[:, : 2 + r]
-        for g in np.unique(probe):
-            rows = np.flatnonzero((probe == g).any(axis=1))
+            return x @ self.centroids.T
+        to = np.arccos(np.clip(x @ self.coarse.T, -1, 1))
+        out, first, least = np.full((len(x), len(self.centroids)), -np.inf, np.float32), np.argmin(to, axis=1), np.full(len(x), -np.inf)
+        bound = np.cos(np.maximum(0, to - self.spread))  # no centroid of the group is more similar
+        for g in np.unique(first):
+            rows = np.flatnonzero(first == g)
             if len(self.groups[g]):
-                s = np.concatenate([sim[rows], x[rows] @ self.centroids[self.groups[g]].T], axis=1)
-                i = np.concatenate([best[rows], np.broadcast_to(self.groups[g], (len(rows), len(self.groups[g])))], axis=1)
-                top = np.argsort(-s, axis=1, kind="stable")[:, :r]
-                best[rows], sim[rows] = np.take_along_axis(i, top, 1), np.take_along_axis(s, top, 1)
-        return best
+                s = x[rows] @ self.centroids[self.groups[g]].T
+                out[rows[:, None], self.groups[g]] = s
+                if s.shape[1] >= r:
+                    least[rows] = np.minimum(np.partition(s, -r, axis=1)[:, -r], s.max(axis=1) - margin)
+        for g, group in enumerate(self.groups):
+            rows = np.flatnonzero((first != g) & (bound[:, g] >= least))
+            if len(rows) and len(group):
+                out[rows[:, None], group] = x[rows] @ self.centroids[group].T
+        return out
+
+    def nearest(self, x: np.ndarray, r: int) -> np.ndarray:
+        """The numbers of the ``r`` nearest cells of each row, nearest first."""
+        r = min(r, len(self.centroids))
+        return np.argsort(-self._similarities(x, r, 0.0), axis=1, kind="stable")[:, :r]
+
+    def visited(self, x: np.ndarray, least: int, margin: float, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(the nearest cell of each row; row and cell of every visit: the ``least`` nearest cells and all within ``margin`` of the nearest)."""
+        r = min(least, len(self.centroids))
+        if len(self.centroids) == 1 or not len(x):
+            return np.zeros(len(x), np.int64), np.arange(len(x)), np.zeros(len(x), np.int64)
+        home, who, cell = [], [], []
+        for lo in range(0, len(x), block):
+            s = self._similarities(x[lo : lo + block], r, margin)
+            row, col = np.nonzero(s >= np.minimum(np.partition(s, -r, axis=1)[:, -r], s.max(axis=1) - np.float32(margin))[:, None])
+            home.append(np.argmax(s, axis=1))
+            who.append(lo + row)
+            cell.append(col)
+        return np.concatenate(home), np.concatenate(who), np.concatenate(cell)
 
 
 def _means(x: np.ndarray, count: int, rounds: int, seed: int = 11) -> np.ndarray:
@@ -102,9 +130,10 @@ def fit_cells(x: np.ndarray, size: int, s: Settings) -> Cells:
         cells.coarse = _means(c, int(count**0.5), 4)
         own = np.argmax(c @ cells.coarse.T, axis=1)
         cells.groups = [np.flatnonzero(own == g) for g in range(len(cells.coarse))]
+        angle = np.arccos(np.clip((c * cells.coarse[own]).sum(axis=1), -1, 1))
+        cells.spread = np.array([angle[g].max() if len(g) else 0.0 for g in cells.groups]) + 2e-3  # more than single precision can lose
     if len(x):
-        near = cells.nearest(x, s.visits).ravel()
-        cells.copies = planned(np.bincount(near[near >= 0], minlength=count), 2 * s.shard)
+        cells.copies = planned(np.bincount(cells.visited(x, s.visits, s.margin)[2], minlength=count), 2 * s.shard)
     return cells
 
 
@@ -172,24 +201,21 @@ def nearest_pairs(entries: DataFrame, settings: Settings | None = None) -> DataF
             for key in {(of[c], int(d)) for c, d in zip(code, dims)}:
                 c = shared.value[key]
                 rows = np.flatnonzero((code == of.index(key[0])) & (dims == key[1]))
-                near = c.nearest(_unit(batch, rows, key[1]).astype(np.float32), s.visits)
+                cell_of, who, cell = c.visited(_unit(batch, rows, key[1]).astype(np.float32), s.visits, s.margin)
                 home = (ids[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
                 group = lambda who, cell: (ids[rows[who]].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)).astype(np.int64) % c.copies[cell]
-                every = np.arange(len(rows))
-                at_home = home % c.shards[near[:, 0]]
+                at_home = home % c.shards[cell_of]
                 # a stored vector joins the graph of its shard in every copy, and searches in its own
-                own = np.repeat(every, c.copies[near[:, 0]])
-                copy = np.arange(len(own)) - np.repeat(np.cumsum(c.copies[near[:, 0]]) - c.copies[near[:, 0]], c.copies[near[:, 0]])
-                parts = [(own, near[own, 0], at_home[own] * _COPIES + copy, np.where(copy == group(own, near[own, 0]), 2, 1))]
-                for v in range(near.shape[1]):
-                    known = np.flatnonzero(near[:, v] >= 0)
-                    count = c.shards[near[known, v]]
-                    who = np.repeat(known, count)
-                    shard = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
-                    cell = near[who, v]
-                    other = (shard != at_home[who]) if v == 0 else np.ones(len(who), bool)
-                    who, cell, shard = who[other], cell[other], shard[other]
-                    parts.append((who, cell, shard * _COPIES + group(who, cell), np.zeros(len(who), np.int64)))
+                copies = c.copies[cell_of]
+                own = np.repeat(np.arange(len(rows)), copies)
+                copy = np.arange(len(own)) - np.repeat(np.cumsum(copies) - copies, copies)
+                parts = [(own, cell_of[own], at_home[own] * _COPIES + copy, np.where(copy == group(own, cell_of[own]), 2, 1))]
+                count = c.shards[cell]
+                shard = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                who, cell = np.repeat(who, count), np.repeat(cell, count)
+                other = (cell != cell_of[who]) | (shard != at_home[who])
+                who, cell, shard = who[other], cell[other], shard[other]
+                parts.append((who, cell, shard * _COPIES + group(who, cell), np.zeros(len(who), np.int64)))
                 for who, cell, shard, role in parts:
                     if len(who):
                         b = batch.take(pa.array(rows[who]))

@@ -79,3 +79,21 @@ def test_odd_vectors_ties_copies_and_repeats(spark):
     assert nearest_pairs(frame(spark, rows).limit(0)).count() == 0
     assert nearest_pairs(frame(spark, [(1, "a", 4, same)])).count() == 0
     assert nearest_pairs(frame(spark, [(None, "a", 4, same), (2, None, 4, same)])).count() == 0
+
+
+def test_routing_meets_close_pairs_however_many_cells():
+    d, rng = 48, np.random.default_rng(9)
+    x = rng.normal(size=(120_000, d)).astype(np.float32)  # an index of more than 102,400 vectors
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = x[:4000] + 0.22 / d**0.5 * rng.normal(size=(4000, d)).astype(np.float32)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    s = Settings()
+    c = fit_cells(x[::4], len(x), s)
+    assert len(c.centroids) == 300 and c.coarse is not None
+    assert (c.nearest(x[:4000], 1)[:, 0] == np.argmax(x[:4000] @ c.centroids.T, axis=1)).mean() > 0.9999
+    met = np.zeros(4000, dtype=bool)
+    for a, b in ((x[:4000], y), (y, x[:4000])):
+        _, who, cell = c.visited(a, s.visits, s.margin)
+        home = c.visited(b, s.visits, s.margin)[0]
+        met[who[cell == home[who]]] = True
+    assert met.mean() > 0.99, met.mean()
