@@ -10,8 +10,9 @@ robust-pruned directed graph is built over the stored vectors and beam
 searches give every stored or visiting vector its candidates; their exact
 similarities decide.
 
-Vectors with equal content beyond the first few of them never enter a graph:
-their nearest ones are those few, so they are paired with these directly.
+Vectors of equal direction, whatever their norms, beyond the first few of them
+never enter a graph: their nearest ones are those few, so they are paired with
+these directly.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quiver.llm.pruned_graph import PrunedGraph
+from quiver.workdir import materialise
 
 
 _COPIES = 1 << 32  # shard number and copy number in one
@@ -137,8 +139,8 @@ def fit_cells(x: np.ndarray, size: int, s: Settings) -> Cells:
     return cells
 
 
-def _unit(batch: pa.RecordBatch | pa.Table, rows: np.ndarray, dimension: int) -> np.ndarray:
-    a = batch.column("embedding").take(pa.array(rows))
+def _unit(batch: pa.RecordBatch | pa.Table, rows: np.ndarray, dimension: int, column: str = "embedding") -> np.ndarray:
+    a = batch.column(column).take(pa.array(rows))
     a = a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
     x = a.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dimension)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -150,16 +152,57 @@ def _usable(entries: DataFrame) -> DataFrame:
     return entries.select("index_name", "vec_id", "dimension", e.cast("array<float>").alias("embedding")).filter(F.col("vec_id").isNotNull() & F.col("index_name").isNotNull() & e.isNotNull() & fine)
 
 
+def _directions(usable: DataFrame, grid: float = 1e4) -> DataFrame:
+    """Of each vector the hash of its content and two of its direction, rounded on grids that lie half a step apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, hashed = batch.column("dimension").to_numpy(), np.zeros((2, batch.num_rows), np.int64)
+            for d in np.unique(dims):
+                rows = np.flatnonzero(dims == d)
+                x, factor = _unit(batch, rows, int(d)) * grid, np.random.default_rng(5).integers(-(1 << 63), (1 << 63) - 1, int(d))
+                for shift in (0, 1):
+                    hashed[shift, rows] = (np.floor(x + shift / 2).astype(np.int64) * factor).sum(axis=1)
+            kept = [batch.column(c) for c in ("index_name", "dimension", "vec_id", "content")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(hashed[0]), pa.array(hashed[1])], names=["index_name", "dimension", "vec_id", "content", "a", "b"])
+
+    return usable.mapInArrow(run, "index_name string, dimension int, vec_id long, content long, a long, b long")
+
+
 def _crowds(usable: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(first members, other members) of the groups of more than k + 1 vectors of equal content.
+    """(first members, other members) of the groups of more than k + 1 vectors of equal direction.
+
+    Equal is a similarity that rounds to 1.  Vectors so alike differ by single
+    precision only, so a border of one grid may part them, but hardly one of
+    both: what shares a cell of grid b goes by its least cell of grid a.  Within
+    that, the vector of the least id decides by its similarity; those that
+    aren't equal to it are still grouped by content.
 
     Counts merge map-side; the first k + 1 by id are found in salted parts first, so no window sees a whole hot group.
     """
-    key = ["index_name", "dimension", "copy"]
-    marked = usable.select("index_name", "dimension", "vec_id", F.xxhash64("embedding").alias("copy"))
-    crowded = marked.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k + 1).select(*key)
-    members = marked.join(crowded, key, "left_semi").distinct()
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
+    at = ["index_name", "dimension"]
+    marked = materialise(_directions(usable), "directions")
+    close = marked.join(marked.groupBy(*at, "b").agg(F.min("a").alias("near")), [*at, "b"])
+    large = close.groupBy(*at, "near").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k + 1).select(*at, "near")
+    found = close.join(large, [*at, "near"], "left_semi").select(*at, "vec_id", "content", "near").distinct()
+    held = materialise(usable.join(found, [*at, "vec_id", "content"]).distinct(), "crowds")
+    leader = held.groupBy(*at, "near").agg(F.min_by("embedding", F.struct("vec_id", "content")).alias("leader"))
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, equal = batch.column("dimension").to_numpy(), np.zeros(batch.num_rows, bool)
+            for d in np.unique(dims):
+                rows = np.flatnonzero(dims == d)
+                equal[rows] = np.round(np.einsum("nd,nd->n", _unit(batch, rows, int(d)), _unit(batch, rows, int(d), "leader")), 12) >= 1
+            copy = np.where(equal, batch.column("near").to_numpy(), batch.column("content").to_numpy())
+            kept = [batch.column(c) for c in (*at, "vec_id", "content")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(equal), pa.array(copy)], names=[*at, "vec_id", "content", "equal", "copy"])
+
+    key = [*at, "equal", "copy"]
+    named = materialise(held.join(leader, [*at, "near"]).mapInArrow(name, "index_name string, dimension int, vec_id long, content long, equal boolean, copy long"), "crowd-members")
+    crowded = named.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k + 1).select(*key)
+    members = named.join(crowded, key, "left_semi")
+    salted = members.select(*key, "vec_id").distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     some = salted.withColumn("no", F.row_number().over(Window.partitionBy(*key, "salt").orderBy("vec_id"))).filter(F.col("no") <= k + 1)
     first = some.withColumn("no", F.row_number().over(Window.partitionBy(*key).orderBy("vec_id"))).filter(F.col("no") <= k + 1).select(*key, "vec_id")
     return first, members.join(first, [*key, "vec_id"], "left_anti")
@@ -260,13 +303,14 @@ def nearest_pairs(entries: DataFrame, settings: Settings | None = None) -> DataF
             a, b, sim = a[rank < s.k], b[rank < s.k], sim[rank < s.k]
         return pa.table({"index_name": pa.array([name] * len(a), pa.string()), "vec_id": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "similarity": pa.array(sim, pa.float64())})
 
-    first, rest = _crowds(usable, s.k)
-    active = usable.join(rest.select("index_name", "dimension", "vec_id"), ["index_name", "dimension", "vec_id"], "left_anti")
+    with_content = usable.withColumn("content", F.xxhash64("embedding"))
+    first, rest = _crowds(with_content, s.k)
+    active = with_content.join(rest, ["index_name", "dimension", "vec_id", "content"], "left_anti")
     routed = active.select("index_name", "dimension", "vec_id", "embedding").mapInArrow(
         route, "index_name string, dimension int, cell long, shard long, role byte, vec_id long, embedding array<float>"
     )
     found = routed.groupBy("index_name", "dimension", "cell", "shard").applyInArrow(search, out)
-    key = ["index_name", "dimension", "copy"]
+    key = ["index_name", "dimension", "equal", "copy"]
     heads = first.groupBy(*key).agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, s.k).alias("heads"))
     copies = rest.join(heads, key).select("index_name", "vec_id", F.explode("heads").alias("other"), F.lit(1.0).alias("similarity"))
     w = Window.partitionBy("index_name", "vec_id").orderBy(F.desc("similarity"), "other")

@@ -97,3 +97,17 @@ def test_routing_meets_close_pairs_however_many_cells():
         home = c.visited(b, s.visits, s.margin)[0]
         met[who[cell == home[who]]] = True
     assert met.mean() > 0.99, met.mean()
+
+
+def test_crowds_of_one_direction_at_many_norms(spark):
+    rng = np.random.default_rng(21)
+    rows = [(1000 + i, "a", 24, e.tolist()) for i, e in enumerate(clustered(300, 24, 6))]
+    v, w, edge = rng.normal(size=24), rng.normal(size=24), rng.normal(size=24)
+    for first, base in ((2000, v), (100, w)):
+        rows += [(first + int(i), "a", 24, (base * s).astype(np.float32).tolist()) for i, s in zip(rng.permutation(40), rng.uniform(0.1, 9, 40))]
+    edge[0] = 0.0  # scaled copies lie on a border of a grid, and half of them beyond it
+    rows += [(3000 + i, "a", 24, (np.r_[(-1) ** i * 1e-9, edge[1:]] * (i + 1)).astype(np.float32).tolist()) for i in range(40)]
+    got, want = pairs(nearest_pairs(frame(spark, rows))), truth(rows)
+    crowd = lambda found: {p for p in found if not 1000 <= p[0] < 2000}
+    assert crowd(got) == crowd(want) and len(crowd(want)) > 500
+    assert len(got & want) / len(want) >= 0.95 and len(got & want) / len(got) >= 0.95
