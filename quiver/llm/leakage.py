@@ -138,6 +138,18 @@ class Items:
                 runs.add((int(lo + a), int(lo + a + k), int(b - a)))
         return sorted(runs, key=lambda r: (r[1], r[0]))
 
+    def _goes_on(self, runs: list[tuple[int, int, int]], r: int) -> bool:
+        """Whether a run of three words or more follows run ``r`` with no more than the allowed errors between."""
+        p, d, size = runs[r]
+        errors = self.settings.stretch // self.settings.errors
+        for pp, dd, length in runs[r + 1 :]:
+            skip, jump = pp - (p + size), dd - (d + size)
+            if jump > errors + 2:
+                break
+            if length >= 3 and 0 <= skip <= errors and 0 <= jump <= skip + 2:
+                return True
+        return False
+
     def _align(self, i: int, hits: list[tuple[int, int]], codes: tuple[int, ...], spans, text: str) -> tuple[int, int, int] | None:
         """The longest passage of item i: (words of the item, first and last word of the document), or None."""
         s = self.settings
@@ -162,7 +174,7 @@ class Items:
                     continue
                 if jump > skip + 2:
                     between = text[spans[dd + length - 1][1] : spans[d][0]]
-                    if skip > 2 or jump > s.header + skip or size < 3 or between.count("\n") + between.count("\r") < 2:
+                    if skip > 2 or jump > s.header + skip or not (size >= 3 or self._goes_on(runs, r)) or between.count("\n") + between.count("\r") < 2:
                         continue
                 missing = max(0, skip + cut)
                 own += [(a, m + size - cut, e + missing, at) for a, m, e, at in chains[q] if e + missing <= max(3, (m + size) // 5)]

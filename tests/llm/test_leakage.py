@@ -65,3 +65,15 @@ def test_offsets_and_frames(spark):
     split = find_passages(docs, items, Settings(block=1)).collect()
     assert {(r.doc_id, r.item_id) for r in split} == {(r.doc_id, r.item_id) for r in out}
     assert find_passages(docs.limit(0), items).count() == 0 and find_passages(docs, items.limit(0)).count() == 0
+
+
+def test_short_run_between_a_header_and_an_error():
+    header = "\n\nLand Tribunal of Corstow, 18 U 4/11 · Page 2 of 3\n\n"
+    for short in (1, 2):
+        at = 12 + short
+        text = f"{' '.join(WORDS[:12])}{header}{' '.join(WORDS[12:at])} xyzzy {' '.join(WORDS[at + 1 : at + 13])}"
+        assert hits(f"{fill(30, 3)} {text} {fill(30, 4)}") == [1]
+    apart = f"{' '.join(WORDS[:12])}{header}{' '.join(WORDS[12:14])} {fill(30, 5)} {' '.join(WORDS[15:20])}"
+    assert hits(f"{fill(30, 3)} {apart} {fill(30, 4)}") == []
+    loose = " ".join(f"{fill(2, 60 + i)}\n{fill(1, 80 + i)}\n{w}" for i, w in enumerate(WORDS[12:24]))
+    assert hits(f"{fill(30, 3)} {' '.join(WORDS[:12])} {loose} {fill(30, 4)}") == []
