@@ -16,8 +16,8 @@ from quiver.llm.repetition import slices
 
 #: inside of words: combining marks, the soft hyphen and marks of no width; \w also has the underscore, which counts as a blank
 _LETTER = r"[\w\u0300-\u036f\u00ad\u200b-\u200d\u2060\ufeff]"
-#: a word: letters and digits, with hyphens and apostrophes inside, also where a line ends at the hyphen
-WORD = re.compile(rf"{_LETTER}+(?:[-'\u2010\u2011\u2019](?:[ \t]*[\n\r]\s*)?{_LETTER}+)*")
+#: a word: letters and digits, with hyphens and apostrophes inside, also where a line ends at the hyphen or soft hyphen, with any blanks behind it
+WORD = re.compile(rf"{_LETTER}+(?:(?:[-'\u2010\u2011\u2019](?:[^\S\n\r]*[\n\r]\s*)?|(?<=\u00ad)[^\S\n\r]*[\n\r]\s*){_LETTER}+)*")
 _DROP = re.compile(r"[\W_]+")
 _PLAIN = re.compile(r"[a-z0-9]+\Z")
 

@@ -77,3 +77,12 @@ def test_short_run_between_a_header_and_an_error():
     assert hits(f"{fill(30, 3)} {apart} {fill(30, 4)}") == []
     loose = " ".join(f"{fill(2, 60 + i)}\n{fill(1, 80 + i)}\n{w}" for i, w in enumerate(WORDS[12:24]))
     assert hits(f"{fill(30, 3)} {' '.join(WORDS[:12])} {loose} {fill(30, 4)}") == []
+
+
+def test_any_hyphen_and_blank_at_a_line_end():
+    for end in ("\u00ad\n", "\u00ad \r\n", "-\u00a0\n", "\u2010\u2003\n  ", "-\x0b\n"):
+        text = ITEM
+        for word in ("tenancy", "renewed", "before", "quota", "separate", "survey"):
+            text = text.replace(word, f"{word[:3]}{end}{word[3:]}")
+        assert hits(f"{fill(40, 1)} {text} {fill(40, 2)}") == [1], repr(end)
+    assert hits(f"{fill(40, 1)} {ITEM} {fill(40, 2)}".replace(" ", "\u00a0")) == [1]
