@@ -59,6 +59,21 @@ class _Codes(dict):
         return code
 
 
+def unbeaten(chains: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of chains (first item place, matched, missing, first document place) that end in one run, those that no other beats.
+
+    A chain is beaten by one that spans as many words of the item or more with
+    no more of them missing: whatever follows, that one qualifies as well.  One
+    chain at most is left for each number of missing words.
+    """
+    kept, span = [], -1
+    for c in sorted(chains, key=lambda c: (c[2], -c[1])):
+        if c[1] + c[2] > span:
+            kept.append(c)
+            span = c[1] + c[2]
+    return kept
+
+
 class Items:
     """The automaton over all runs of ``seed`` words of the items, and the items' words by number."""
 
@@ -178,8 +193,8 @@ class Items:
                         continue
                 missing = max(0, skip + cut)
                 own += [(a, m + size - cut, e + missing, at) for a, m, e, at in chains[q] if e + missing <= max(3, (m + size) // 5)]
-            if len(own) > 64:
-                own = sorted(own, key=lambda c: (c[2] - c[1] // s.errors, -c[1]))[:64]
+            if len(own) > 16:
+                own = unbeaten(own)
             chains.append(own)
             for a, m, e, at in own:
                 span = m + e

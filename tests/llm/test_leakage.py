@@ -1,6 +1,6 @@
 import random
 
-from quiver.llm.leakage import Items, Settings, find_passages, normal
+from quiver.llm.leakage import Items, Settings, find_passages, normal, unbeaten
 
 ITEM = "The binding tenancy at Holcor was never renewed before 12 March 2009, and the panel held that upper well-known quota of 7,696 crowns remains separate where survey is void or frozen by law"
 WORDS = ITEM.split()
@@ -86,3 +86,12 @@ def test_any_hyphen_and_blank_at_a_line_end():
             text = text.replace(word, f"{word[:3]}{end}{word[3:]}")
         assert hits(f"{fill(40, 1)} {text} {fill(40, 2)}") == [1], repr(end)
     assert hits(f"{fill(40, 1)} {ITEM} {fill(40, 2)}".replace(" ", "\u00a0")) == [1]
+
+
+def test_only_beaten_chains_go():
+    short = [(a, 5, 0, a) for a in range(100)]
+    assert unbeaten([*short, (7, 12, 1, 7), (8, 12, 2, 8), (9, 10, 2, 9)]) == [short[0], (7, 12, 1, 7), (8, 12, 2, 8)]
+    # an item and a text of few words, with more than 64 ways through them
+    item = " ".join(["ab cd ef gh"] * 8 + ["ij kl mn op"])
+    text = " ".join(["ab cd ef gh"] * 3 + ["xy"] + ["cd ef gh"] + ["ab cd ef gh"] * 20 + ["ij kl mn op"])
+    assert hits(text, ((1, item),)) == [1]
