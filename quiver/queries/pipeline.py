@@ -37,7 +37,7 @@ def p2_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The import lines that fit, typed by their layout; one JSON object a line, as layouts differ in columns."""
     header = table(spark, sf, "csv_header")
     columns: dict[int, list] = {}
-    for r in header.distinct().orderBy("layout_id", "col_no").limit(100_000).collect():  # the dictionary of layouts, of fixed size
+    for r in header.distinct().orderBy("layout_id", "col_no").collect():  # the dictionary of layouts, of fixed size
         columns.setdefault(r.layout_id, []).append((r.name, r.ty))
     parsed = parse_lines(table(spark, sf, "csv_line").dropDuplicates(["line_id", "raw"]), header).filter(F.col("reason").isNull())
     rows = [F.when(F.col("layout_id") == layout, F.to_json(F.struct(*typed_columns(c, [])))) for layout, c in columns.items()]

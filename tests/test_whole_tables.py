@@ -18,3 +18,8 @@ def test_paths_from_every_row(spark, name, key, table):
     assert sorted(map(tuple, got.collect())) == sorted(rows)
     assert len({r[0] for r in rows}) > 0.8 * con.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
     assert max(r[0] for r in rows) >= {"c": 200, "s": 10}[key]
+
+
+def test_no_header_row_is_left_out(spark, data, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1)), "limit", lambda *a: pytest.fail("a limit"))
+    assert __spark_entry__.queries()["p2_rows"](spark, data).filter("typed IS NULL").count() == 0
