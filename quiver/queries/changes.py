@@ -24,6 +24,9 @@ def places(spark: SparkSession, sf: str) -> PropertyGraph:
     return g.as_generic()
 
 
+#: updates and constraints that run over all tables of the trade graph
+WHOLE = ("update_set", "update_delete", "catalog_constraints")
+
 #: name -> (updating or catalog statements, query that reads the outcome, SQL)
 STEPS: dict[str, tuple[list[str], str, str]] = {
     "update_create": (
@@ -88,7 +91,7 @@ def _steps(name: str):
     changes, read, _ = STEPS[name]
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        engine = Engine(places(spark, sf))
+        engine = Engine(trade_graph(spark, sf).as_generic() if name in WHOLE else places(spark, sf))
         for text in changes:
             engine.execute(text)
         return engine.execute(read)
@@ -102,9 +105,9 @@ def graph_degree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def graph_save_load(spark: SparkSession, sf: str) -> DataFrame:
-    """A graph written as Parquet and a manifest, and read again."""
+    """The whole trade graph written as Parquet and a manifest, and read again."""
     path = scratch_path(spark, "saved")
-    places(spark, sf).save(path)
+    trade_graph(spark, sf).as_generic().save(path)
     return Engine(PropertyGraph.load(spark, path)).execute("MATCH (s:Supplier)-[:IN_NATION]->(n)-[:IN_REGION]->(r) RETURN s.s_name AS s, n.n_name AS n, r.r_name AS r")
 
 

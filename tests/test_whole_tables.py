@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from quiver.graph.property_graph import PropertyGraph
+from quiver.queries import changes
 
 SF = "/root/testdata/sf0.01"
 
@@ -20,6 +22,16 @@ def test_paths_from_every_row(spark, name, key, table):
     assert max(r[0] for r in rows) >= {"c": 200, "s": 10}[key]
 
 
+@pytest.mark.parametrize("name", ["graph_save_load", "update_set", "update_delete", "catalog_constraints"])
+def test_changes_run_over_the_whole_graph(spark, data, monkeypatch, name):
+    seen = []
+    load, engine = PropertyGraph.load, changes.Engine
+    monkeypatch.setattr(PropertyGraph, "load", lambda *a: seen.append(load(*a)) or seen[-1])
+    monkeypatch.setattr(changes, "Engine", lambda g: seen.append(g) or engine(g))
+    changes.QUERIES[name](spark, data).collect()
+    assert seen and all(len(g.labels()) == 10 and {e.type for e in g.edges} == {"PLACED", "CONTAINS", "SUPPLIED", "IN_NATION", "IN_REGION", "DID"} for g in seen)
+
+
 def test_no_header_row_is_left_out(spark, data, monkeypatch):
     monkeypatch.setattr(type(spark.range(1)), "limit", lambda *a: pytest.fail("a limit"))
     assert __spark_entry__.queries()["p2_rows"](spark, data).filter("typed IS NULL").count() == 0
