@@ -14,9 +14,10 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import DataType
 
+from quiver.operators.versions import Versions
 from quiver.workdir import materialise
 
 ID, LABELS, TYPE, SRC, DST = "_id", "_labels", "_type", "_src", "_dst"
@@ -26,6 +27,10 @@ class UnknownName(ValueError):
     """A label, relationship type or property that the graph doesn't have."""
 
 
+class DamagedGraph(RuntimeError):
+    """A saved table that doesn't hold what was written."""
+
+
 class LazyFrame:
     """A DataFrame that is only opened when it is used: a query doesn't read the footers of tables it doesn't touch."""
 
@@ -67,7 +72,8 @@ class EdgeTable:
     """Relationships of one type from ``source`` to ``target``; id, src and dst are SQL over the columns of ``df``.
 
     owner: "src" or "dst" if each row is the row of that end's vertex table;
-    hidden: columns that aren't properties of the relationship, ("*",) for all.
+    hidden: columns that aren't properties of the relationship, ("*",) for all;
+    checked: ends ("src", "dst") that are known to be rows of their vertex table.
     """
 
     type: str
@@ -79,6 +85,7 @@ class EdgeTable:
     target: str
     owner: str | None = None
     hidden: tuple[str, ...] = ()
+    checked: tuple[str, ...] = ()
 
     @property
     def properties(self) -> list[str]:
@@ -233,30 +240,54 @@ class PropertyGraph:
         )
 
     # -- files ------------------------------------------------------------
-    def save(self, path: str) -> None:
-        """Write the graph as Parquet folders and a manifest; the manifest is written last, so a broken save isn't read."""
+    def save(self, path: str) -> int:
+        """Write the graph as Parquet folders and publish them as the next version under ``path``; gives its number.
+
+        Every save has folders of its own and becomes visible by one rename, so
+        one that fails leaves the version before it as it was.  Each table's
+        number of rows and checksum are taken as it is written.
+        """
+        versions = Versions(self.spark, path)
+        base = versions.latest()
         spec = {
             "nodes": [{"name": t.name, "id": t.id, "labels": t.labels, "label_column": t.label_column} for t in self.nodes],
-            "edges": [{"type": e.type, "id": e.id, "src": e.src, "dst": e.dst, "source": e.source, "target": e.target, "hidden": e.hidden} for e in self.edges],
+            "edges": [{"type": e.type, "id": e.id, "src": e.src, "dst": e.dst, "source": e.source, "target": e.target, "hidden": e.hidden, "checked": e.checked} for e in self.edges],
             "labels": sorted(self.known_labels),
             "indexes": [{**vars(i), "options": dict(i.options)} for i in self.indexes],
             "constraints": [vars(c) for c in self.constraints],
-        }
-        for i, t in enumerate(self.nodes):
-            t.df.write.mode("overwrite").parquet(f"{path}/nodes-{i}")
-        for i, e in enumerate(self.edges):
-            e.df.write.mode("overwrite").parquet(f"{path}/edges-{i}")
-        self.spark.createDataFrame([(json.dumps(spec),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+            "folders": [], "sums": [],
+        }
+        for t in (*self.nodes, *self.edges):
+            spec["folders"].append(versions.folder("table"))
+            seen = Observation()
+            t.df.observe(seen, *_digest(t.df)).write.parquet(f"{path}/{spec['folders'][-1]}")
+            spec["sums"].append([seen.get["rows"], seen.get["sum"] or 0])
+        return versions.publish(spec, base)
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> PropertyGraph:
-        spec = json.loads("".join(r.value for r in spark.read.text(f"{path}/manifest").collect()))
+    def load(spark: SparkSession, path: str, version: int | None = None, verify: bool = False) -> PropertyGraph:
+        """A saved version, the last one by default; ``verify`` reads all tables and raises DamagedGraph if one isn't what was written."""
+        versions = Versions(spark, path)
+        spec = versions.read(versions.latest() if version is None else version)
         tup = lambda d: {k: tuple(v) if isinstance(v, list) else v for k, v in d.items()}
+        frames = [spark.read.parquet(f"{path}/{f}") for f in spec["folders"]]
+        if verify:
+            for df, folder, want in zip(frames, spec["folders"], spec["sums"]):
+                got = df.agg(*_digest(df)).first()
+                if [got["rows"], got["sum"] or 0] != want:
+                    raise DamagedGraph(f"{path}/{folder} isn't as it was written")
+        n = len(spec["nodes"])
         return PropertyGraph(
             spark,
-            tuple(NodeTable(df=spark.read.parquet(f"{path}/nodes-{i}"), **tup(d)) for i, d in enumerate(spec["nodes"])),
-            tuple(EdgeTable(df=spark.read.parquet(f"{path}/edges-{i}"), **tup(d)) for i, d in enumerate(spec["edges"])),
+            tuple(NodeTable(df=df, **tup(d)) for df, d in zip(frames, spec["nodes"])),
+            tuple(EdgeTable(df=df, **tup(d)) for df, d in zip(frames[n:], spec["edges"])),
             frozenset(spec["labels"]),
             tuple(IndexDef(**tup(d)) for d in spec["indexes"]),
             tuple(ConstraintDef(**tup(d)) for d in spec["constraints"]),
         )
+
+
+def _digest(df: DataFrame):
+    """The number of rows and the sum of their hashes: neither order nor partitioning matters."""
+    plain = [F.to_json(f"`{f.name}`") if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return F.count(F.lit(1)).alias("rows"), F.sum(F.pmod(F.xxhash64(*plain), F.lit(1 << 31))).alias("sum")

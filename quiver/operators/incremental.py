@@ -2,153 +2,160 @@
 
 State is a table (key columns, content hash) in numbered versions.  A run
 hashes the current rows, joins them with the state and gets the rows whose key
-is new or whose hash differs; only when its work has succeeded is the next
-version published, by one atomic rename that fails if another run got there
-first.  A failure at any point leaves the old version, so nothing is skipped
-and nothing is done twice.
+is new or whose hash isn't among the key's; only when its work has succeeded is
+the next version published, by one atomic rename that fails if another run got
+there first.  A failure at any point leaves the old version, so nothing is
+skipped and nothing is done twice.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quiver.operators.hashing import content_hash
-from quiver.workdir import hadoop
-
-HASH = "_row_hash"
+from quiver.operators.versions import StateConflict, Versions
+from quiver.workdir import materialise
 
+__all__ = ["HASH", "ChangeState", "StateConflict", "below_floor", "in_ranges", "taken_in"]
 
-class StateConflict(RuntimeError):
-    """Another run has published the version this run was about to publish."""
+HASH = "_row_hash"
 
 
 class ChangeState:
     """Versioned state under ``path`` for rows identified by ``keys``.
 
     Rows with a null in a key are compared null-safely and so count as a key
-    of their own.  Repeated rows count once: of several rows for one key the
-    one with the greatest hash stands for it.  ``content`` gives the columns
-    that make a change (default: all that aren't keys).  Other columns are
-    carried along, whatever their names; ``_row_hash`` is reserved.
+    of their own.  Repeated rows make one entry of the state and come out of a
+    run as often as they went in.  A key may come with several contents: each
+    is remembered, so a content that is added comes out alone,
+    and a run without changes gives nothing.  What a run brings for a key
+    replaces what the state had for it, so a key that goes back to an earlier
+    content has changed.  ``content`` gives the columns that make a change
+    (default: all that aren't keys).  Other columns are carried along, whatever
+    their names; ``_row_hash`` is reserved, and rows that bring it are taken as
+    hashed already.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], content: Sequence[str] | None = None):
         self.spark, self.path, self.keys, self.content = spark, path.rstrip("/"), list(keys), content
+        self.versions = Versions(spark, self.path)
 
     # -- versions ---------------------------------------------------------
     def version(self) -> int:
         """Number of the published version; 0 before the first."""
-        fc, p = hadoop(self.spark, f"{self.path}/_versions")
-        if not fc.util().exists(p):
-            return 0
-        names = [s.getPath().getName() for s in fc.util().listStatus(p)]
-        return max([0, *(int(n) for n in names if n.isdigit())])
-
-    def _folder(self, version: int) -> str:
-        fc, p = hadoop(self.spark, f"{self.path}/_versions/{version:012d}")
-        stream = fc.open(p)
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
+        return self.versions.latest()
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """The state (keys, _row_hash) of a version, or None before the first."""
         version = self.version() if version is None else version
-        return self.spark.read.parquet(f"{self.path}/{self._folder(version)}") if version else None
+        return self.spark.read.parquet(f"{self.path}/{self.versions.read(version)['folder']}") if version else None
 
     def publish(self, state: DataFrame, base: int | None = None) -> int:
         """Write ``state`` and make it version ``base`` + 1 (default: the version after the current one)."""
         base = self.version() if base is None else base
-        folder = f"data-{base + 1:012d}-{uuid.uuid4().hex}"
+        folder = self.versions.folder(f"data-{base + 1:012d}")
         state.select(*self.keys, HASH).write.parquet(f"{self.path}/{folder}")
-        jvm = self.spark._jvm
-        fc, final = hadoop(self.spark, f"{self.path}/_versions/{base + 1:012d}")
-        _, tmp = hadoop(self.spark, f"{self.path}/_versions/.{uuid.uuid4().hex}")
-        flags = jvm.java.util.EnumSet.of(jvm.org.apache.hadoop.fs.CreateFlag.CREATE)
-        gateway = self.spark.sparkContext._gateway
-        parents = gateway.new_array(jvm.org.apache.hadoop.fs.Options.CreateOpts, 1)
-        parents[0] = jvm.org.apache.hadoop.fs.Options.CreateOpts.createParent()
-        out = fc.create(tmp, flags, parents)
-        out.write(folder.encode())
-        out.close()
-        options = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
-        try:
-            fc.rename(tmp, final, options)
-        except Exception as e:  # the target exists: somebody else published it
-            fc.delete(tmp, False)
-            raise StateConflict(f"version {base + 1} of {self.path} is already there") from e
-        return base + 1
+        return self.versions.publish({"folder": folder}, base)
 
     # -- rows -------------------------------------------------------------
     def hashed(self, rows: DataFrame) -> DataFrame:
+        if HASH in rows.columns:
+            return rows
         content = [c for c in rows.columns if c not in self.keys] if self.content is None else list(self.content)
         return rows.withColumn(HASH, content_hash([F.col(f"`{c}`") for c in content]))
 
     def keyed(self, hashed: DataFrame, *carry: Column) -> DataFrame:
-        """One row per key with its hash; partial aggregation before the shuffle."""
+        """One row per key, for rows of which each key has one content; partial aggregation before the shuffle."""
         return hashed.groupBy(*self.keys).agg(F.max(HASH).alias(HASH), *carry)
 
+    def _without(self, rows: DataFrame, other: DataFrame, *columns: str) -> DataFrame:
+        """``rows`` that have no equal in ``columns`` among ``other``, nulls being equal."""
+        names = {c: f"_o{i}" for i, c in enumerate(columns)}
+        right = other.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+        return rows.join(right, reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(n)) for c, n in names.items()]), "left_anti")
+
     def changed(self, hashed: DataFrame, version: int | None = None) -> DataFrame:
-        """Rows of ``hashed`` whose key is new or whose hash isn't the key's in the state."""
+        """Rows of ``hashed`` whose key is new or whose hash isn't among the key's in the state."""
         state = self.read(version)
-        if state is None:
-            return hashed
-        s = state.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(self.keys)], F.col(HASH).alias("_h"))
-        same = F.col(HASH) == F.col("_h")
-        for i, k in enumerate(self.keys):
-            same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}"))
-        return hashed.join(s, same, "left_anti")
+        return hashed if state is None else self._without(hashed, state, *self.keys, HASH)
 
     def run(self, rows: DataFrame, work: Callable[[DataFrame], object]) -> object:
         """Do ``work`` on the new or changed rows, then publish; if ``work`` raises, the state stays as it was.
 
-        The published state holds the keys seen before too, so a later run may
-        be given only part of the table.
+        What counts as seen is written down before the work begins: a row that
+        arrives meanwhile isn't in it and comes out next time.  The published
+        state holds the keys seen before too, so a later run may be given only
+        part of the table.  If publishing fails the work was done and will be
+        done again, so work should replace what an earlier attempt of the same
+        ``version()`` wrote.
         """
         base = self.version()
         hashed = self.hashed(rows)
-        result = work(self.changed(hashed, base).drop(HASH))
-        state = self.keyed(hashed).withColumn("_new", F.lit(1))
-        if base:
-            state = state.unionByName(self.read(base).withColumn("_new", F.lit(0)))
-        state = state.groupBy(*self.keys).agg(F.max(F.struct("_new", HASH)).alias("_s")).select(*self.keys, F.col(f"_s.{HASH}").alias(HASH))
+        seen = materialise(hashed.select(*self.keys, HASH).distinct(), "seen")
+        todo = seen if not base else self._without(seen, self.read(base), *self.keys, HASH)
+        names = {c: f"_t{i}" for i, c in enumerate((*self.keys, HASH))}
+        right = todo.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+        mine = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(n)) for c, n in names.items()])
+        result = work(hashed.join(right, mine, "left_semi").drop(HASH))
+        state = seen if not base else seen.unionByName(self._without(self.read(base), seen, *self.keys))
         self.publish(state, base)
         return result
 
 
-def taken_in(records: DataFrame, runs: DataFrame, snapshots: DataFrame, bucket: int = 1024) -> DataFrame:
-    """Rows of ``records`` (shard_id, lsn, earliest, …) that a successful run has taken in.
-
-    A run with a snapshot_id covers its shard up to that snapshot's wal_lsn;
-    the greatest such LSN per shard is a floor.  Any other run covers
-    from_lsn < lsn <= upto_lsn of what had landed when it began.  Ranges are
-    cut into buckets of LSNs, so the join is an equi-join on (shard, bucket)
-    with no hot key; the bucket grows with the longest range, so a range
-    yields at most some 65 rows.
+def _successful(runs: DataFrame, status: Sequence[str] = ("ok",)) -> DataFrame:
+    return runs.filter(F.col("status").isin(*status)).select("shard_id", "snapshot_id", "from_lsn", "upto_lsn", "started_at").distinct()
+
+
+def below_floor(records: DataFrame, runs: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Rows of ``records`` (shard_id, lsn, …) that a successful run with a snapshot has taken in.
+
+    Such a run covers its shard up to that snapshot's wal_lsn; the greatest of
+    them per shard is a floor.
     """
-    ok = runs.filter(F.col("status") == "ok").select("shard_id", "snapshot_id", "from_lsn", "upto_lsn", "started_at").distinct()
     floors = (
-        ok.filter(F.col("snapshot_id").isNotNull())
+        _successful(runs).filter(F.col("snapshot_id").isNotNull())
         .join(snapshots.groupBy("snapshot_id").agg(F.max("wal_lsn").alias("wal_lsn")), "snapshot_id")
-        .groupBy("shard_id").agg(F.max("wal_lsn").alias("floor"))
+        .groupBy("shard_id").agg(F.max("wal_lsn").alias("_floor"))
     )
-    ranges = ok.filter(F.col("snapshot_id").isNull() & (F.col("from_lsn") < F.col("upto_lsn")) & F.col("started_at").isNotNull())
-    longest = ranges.agg(F.max(F.col("upto_lsn") - F.col("from_lsn"))).first()[0] or 0
-    width = max(bucket, -(-longest // 64))
-    at = lambda c: F.floor(c / F.lit(width)).cast("bigint")
-    cut = ranges.select(
-        F.col("shard_id").alias("_shard"), F.col("from_lsn").alias("_from"), F.col("upto_lsn").alias("_upto"), "started_at",
-        F.explode(F.sequence(at(F.col("from_lsn") + 1), at(F.col("upto_lsn")))).alias("_bucket"),
-    )
-    records = records.join(floors, "shard_id", "left")
-    below = F.coalesce(F.col("lsn") <= F.col("floor"), F.lit(False))
-    inside = (
-        (F.col("shard_id") == F.col("_shard")) & (at(F.col("lsn")) == F.col("_bucket"))
-        & (F.col("lsn") > F.col("_from")) & (F.col("lsn") <= F.col("_upto")) & (F.col("earliest") <= F.col("started_at"))
+    return records.join(floors, "shard_id").filter(F.col("lsn") <= F.col("_floor")).drop("_floor")
+
+
+def in_ranges(records: DataFrame, runs: DataFrame, status: Sequence[str] = ("ok",), bucket: int = 1024) -> DataFrame:
+    """Rows of ``records`` (shard_id, lsn, earliest, …) that a run without a snapshot has taken in.
+
+    A run covers from_lsn < lsn <= upto_lsn of what had landed when it began.
+    Ranges are cut into buckets of LSNs, so the join is an equi-join on (shard,
+    width, bucket) with no hot key.  The width goes by the range's own length,
+    in steps of eight: a range yields nine rows at most, and one very long run
+    doesn't put the short ones into the same few buckets.  A record is looked
+    up once for each width that occurs, of which there are 18 at most.
+    """
+    ranges = _successful(runs, status).filter(F.col("snapshot_id").isNull() & (F.col("from_lsn") < F.col("upto_lsn")) & F.col("started_at").isNotNull())
+    length = F.col("upto_lsn") - F.col("from_lsn")
+    widths = [bucket * 8**i for i in range(18) if bucket * 8**i < 2**62]
+    width = reduce(lambda rest, w: F.when(length <= 8 * w, F.lit(w)).otherwise(rest), reversed(widths[:-1]), F.lit(widths[-1])).cast("bigint")
+    sized = ranges.withColumn("_width", width)
+    used = [r[0] for r in sized.select("_width").distinct().collect()]  # 18 at most
+    at = lambda c, w: F.floor(c / w).cast("bigint")
+    cut = sized.select(
+        F.col("shard_id").alias("_shard"), F.col("from_lsn").alias("_from"), F.col("upto_lsn").alias("_upto"), "started_at", F.col("_width").alias("_w"),
+        F.explode(F.sequence(at(F.col("from_lsn") + 1, F.col("_width")), at(F.col("upto_lsn"), F.col("_width")))).alias("_bucket"),
     )
-    return records.filter(below).unionByName(records.filter(~below).join(cut, inside, "left_semi")).drop("floor")
+    found = []
+    for w in used:
+        inside = (
+            (F.col("shard_id") == F.col("_shard")) & (at(F.col("lsn"), F.lit(w)) == F.col("_bucket"))
+            & (F.col("lsn") > F.col("_from")) & (F.col("lsn") <= F.col("_upto")) & (F.col("earliest") <= F.col("started_at"))
+        )
+        found.append(records.join(cut.filter(F.col("_w") == w), inside, "left_semi"))
+    if len(found) > 1:  # ranges of different lengths may cover the same record
+        return reduce(lambda a, b: a.unionByName(b), found).distinct()
+    return found[0] if found else records.limit(0)
+
+
+def taken_in(records: DataFrame, runs: DataFrame, snapshots: DataFrame, bucket: int = 1024) -> DataFrame:
+    """Rows of ``records`` (shard_id, lsn, earliest, …) that a successful run has taken in; each comes out once."""
+    return below_floor(records, runs, snapshots).unionByName(in_ranges(records, runs, ("ok",), bucket)).distinct()

@@ -4,8 +4,9 @@ For every group the row of a given rank is found by refining histograms: each
 round counts the group's remaining rows in buckets of the value range, keeps
 the one bucket that holds the rank and lowers the rank by what lies before it.
 Counts merge map-side, so a round moves at most (groups x buckets) counts per
-task and never a hot group's rows.  When a range has shrunk to one value, the
-next order column takes over.
+task and never a hot group's rows: the cursors of hot groups, of which there
+can't be many, are broadcast, and a group that isn't hot is small beside a
+task.  When a range has shrunk to one value, the next order column takes over.
 """
 
 from __future__ import annotations
@@ -17,7 +18,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quiver.workdir import materialise
 
-SALTS = 16
+#: a group with more than this part of all rows is hot: there are fewer than SHARE of them, so they can always be broadcast
+SHARE = 1000
+#: cursors of so many bytes or fewer are broadcast, hot or not
+SMALL = 32 << 20
 
 
 def _parts(rows: DataFrame, order: Sequence[str]) -> list[tuple[str, Column, bool]]:
@@ -67,19 +71,23 @@ def select_rank(
     gs = [f"_g{i}" for i in range(len(group))]
     whole = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in order])  # dropna would drop NaN too
     base = rows.filter(whole).select(*[F.col(f"`{g}`").alias(a) for g, a in zip(group, gs)], *[e.alias(n) for n, e, _ in parts])
-    base = base.withColumn("_salt", F.pmod(F.xxhash64(*names), F.lit(SALTS)).cast("int"))
     ends = lambda: [f(n).alias(f"{p}{n}") for n in names for f, p in ((F.min, "lo"), (F.max, "hi"))]
     cursor = base.groupBy(*gs).agg(F.count(F.lit(1)).alias("n"), *ends())
     cursor = cursor.withColumn("r", (rank - 1).cast("bigint")).filter((F.col("r") >= 0) & (F.col("r") < F.col("n")))
     cursor = materialise(cursor, "rank-cursor")
-    total = None
+    wide = reduce(lambda a, b: a + b, [F.coalesce(F.length(F.col(g).cast("string")), F.lit(0)) for g in gs], F.lit(16 * (len(names) + 2)))
+    size, everything = cursor.agg(F.sum(wide.cast("bigint")), F.sum("n")).first()
+    small, everything, total = (size or 0) * 4 <= SMALL, everything or 0, None
 
     def narrowed(cursor: DataFrame) -> DataFrame:
         """The remaining rows, beside their group's cursor."""
-        c = cursor.select(*[F.col(g).alias(f"c{g}") for g in gs], "n", "r", *[f"{p}{n}" for n in names for p in ("lo", "hi")], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("c_salt"))
-        on = [F.col("_salt") == F.col("c_salt"), *[F.col(g).eqNullSafe(F.col(f"c{g}")) for g in gs]]
-        left = [(F.col(n) >= F.col(f"lo{n}")) & (F.col(n) <= F.col(f"hi{n}")) for n in names]
-        return base.join(c, reduce(lambda a, b: a & b, on)).filter(reduce(lambda a, b: a & b, left))
+        c = cursor.select(*[F.col(g).alias(f"c{g}") for g in gs], "n", "r", *[f"{p}{n}" for n in names for p in ("lo", "hi")])
+        on = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"c{g}")) for g in gs], F.lit(True))
+        left = reduce(lambda a, b: a & b, [(F.col(n) >= F.col(f"lo{n}")) & (F.col(n) <= F.col(f"hi{n}")) for n in names])
+        if small:
+            return base.join(F.broadcast(c), on).filter(left)
+        hot = F.col("n") * SHARE > everything
+        return base.join(F.broadcast(c.filter(hot)), on).filter(left).unionByName(base.join(c.filter(~hot), on).filter(left))
 
     settled = reduce(lambda a, b: a & b, [F.col(f"lo{n}") == F.col(f"hi{n}") for n in names])
     while True:
@@ -91,7 +99,7 @@ def select_rank(
         if total is None:
             total = rows_left
         elif rows_left * 10 < total:  # only what the cursors still hold is read from here on
-            base, total = materialise(narrowed(cursor).select(*gs, *names, "_salt"), "rank-rest"), rows_left
+            base, total = materialise(narrowed(cursor).select(*gs, *names), "rank-rest"), rows_left
         open_ = ~settled & (F.col("n") > finish)
         number = None
         for n, _, double in reversed(parts):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quiver.operators.cdc import SEQ, EqualityDeleteTable, committed_mutations, last_checkpoints, touched_and_present
-from quiver.operators.incremental import ChangeState, taken_in
+from quiver.operators.incremental import ChangeState, below_floor, in_ranges
 from quiver.operators.log import placed_records
 from quiver.operators.selection import select_rank
 from quiver.operators.snapshots import as_set, consecutive, snapshot_changes
@@ -17,13 +17,35 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+class _Failed(RuntimeError):
+    """A run of the consumer that didn't succeed, played through again."""
+
+
+def _fail(rows: DataFrame) -> None:
+    raise _Failed
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Log records that no successful run has taken in."""
+    """Log records that no successful run has taken in.
+
+    The consumer's history goes through the operator: its loads of snapshots
+    are a run, so are its reads of ranges of the log, and between them the
+    reads that failed, whose work raises and which must leave no trace.  Each
+    run gets only records that the versions before it lack, and the next run's
+    records are those that the last published version lacks.
+    """
     content = ["segment_id", "byte_offset", "record_kind", "event_kind", "entity_kind", "entity_id", "payload"]
     state = ChangeState(spark, scratch_path(spark, "p1-state"), ["shard_id", "lsn"], content)
+    runs, snapshots = table(spark, sf, "sync_run"), table(spark, sf, "snapshot_info")
     placed = placed_records(table(spark, sf, "wal_record"), table(spark, sf, "wal_segment"), *content, "landed_at")
     current = materialise(state.keyed(state.hashed(placed), F.min("landed_at").alias("earliest")), "p1-current")
-    state.publish(taken_in(current, table(spark, sf, "sync_run"), table(spark, sf, "snapshot_info")))
+    consumed = lambda rows: None  # noqa: E731  what a consumer does with its records is of no account here
+    state.run(below_floor(current, runs, snapshots), consumed)
+    try:
+        state.run(in_ranges(current, runs, ("failed", "cancelled", "running")), _fail)
+    except _Failed:
+        pass
+    state.run(in_ranges(current, runs), consumed)
     return state.changed(current).select("shard_id", "lsn")
 
 
@@ -89,8 +111,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
         for kind in ("node", "rel")
     ]
     deletes = F.col("event_kind").startswith("delete_")
-    target.append_rows(base[0].unionByName(base[1]).unionByName(changes.filter(~deletes)))
-    target.append_deletes(changes.filter(deletes))
+    target.append(base[0].unionByName(base[1]).unionByName(changes.filter(~deletes)), changes.filter(deletes))
     born = F.col("event_kind").isin("base", "create_node", "create_relationship")
     return touched_and_present(target, born, F.col("event_kind") != "base")
 

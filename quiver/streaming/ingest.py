@@ -20,20 +20,28 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, per_trigge
     return reader.parquet(path)
 
 
-def ingest(stream: DataFrame, target: str, checkpoint: str, shape: Callable[[DataFrame], DataFrame] = lambda df: df, timeout: int = 600) -> None:
+def _wait(q, timeout: int | None) -> None:
+    if timeout is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout):
+        q.stop()
+        raise TimeoutError(f"the stream didn't end in {timeout} seconds")
+
+
+def ingest(stream: DataFrame, target: str, checkpoint: str, shape: Callable[[DataFrame], DataFrame] = lambda df: df, timeout: int | None = None) -> None:
     """Append what has arrived to the table ``target``, each micro-batch once.
 
     A batch is written to a folder named by its number, so a batch that is
-    repeated after a failure replaces what it had written.
+    repeated after a failure replaces what it had written.  It takes as long as
+    it takes; with ``timeout`` seconds it is stopped then, and goes on from
+    there the next time.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         shape(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    if not q.awaitTermination(timeout):
-        q.stop()
-        raise TimeoutError(f"the stream didn't end in {timeout} seconds")
+    _wait(q, timeout)
 
 
 def windowed_counts(stream: DataFrame, time: str, keys: list[str], window: str, late: str) -> DataFrame:
@@ -45,12 +53,10 @@ def windowed_counts(stream: DataFrame, time: str, keys: list[str], window: str,
     )
 
 
-def run_to_table(stream: DataFrame, name: str, timeout: int = 600) -> DataFrame:
+def run_to_table(stream: DataFrame, name: str, timeout: int | None = None) -> DataFrame:
     """Run a stream over what is there and give the rows that it has put out."""
     spark = stream.sparkSession
     target, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
     q = stream.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    if not q.awaitTermination(timeout):
-        q.stop()
-        raise TimeoutError(f"the stream didn't end in {timeout} seconds")
+    _wait(q, timeout)
     return spark.read.schema(stream.schema).parquet(target)
