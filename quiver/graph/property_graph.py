@@ -123,6 +123,8 @@ class PropertyGraph:
     known_labels: frozenset[str] = frozenset()
     indexes: tuple[IndexDef, ...] = ()
     constraints: tuple[ConstraintDef, ...] = ()
+    #: what is known of (edge type, source, target, end): whether all its keys are rows of the vertex table; shared by versions
+    known: dict = field(default_factory=dict, compare=False, repr=False)
 
     # -- building ---------------------------------------------------------
     @staticmethod
@@ -183,6 +185,22 @@ class PropertyGraph:
     def is_generic(self) -> bool:
         return len(self.nodes) == 1 and self.nodes[0].label_column == LABELS and self.nodes[0].id == ID and not self.nodes[0].labels
 
+    def intact(self, e: EdgeTable, end: str) -> bool:
+        """Whether every key at an end of an edge table is a row of its vertex table: found out once, by an anti-join.
+
+        Where it isn't, a relationship of which that end is missing doesn't
+        exist, and matching has to look; where it is, an end's key is enough.
+        """
+        if end in e.checked or e.owner == end:
+            return True
+        name = (e.type, e.source, e.target, end)
+        if name not in self.known:
+            column, table = (e.src, e.source) if end == "src" else (e.dst, e.target)
+            t = self.node_table(table)
+            ends = e.df.selectExpr(f"{column} AS _end").filter("_end IS NOT NULL")
+            self.known[name] = ends.join(t.df.selectExpr(f"`{t.id}` AS _node"), F.col("_end") == F.col("_node"), "left_anti").isEmpty()
+        return self.known[name]
+
     # -- small graph API --------------------------------------------------
     def degree(self, direction: str = "both") -> DataFrame:
         """(table, id, degree) of the nodes that have a relationship."""
@@ -228,8 +246,11 @@ class PropertyGraph:
         edges: dict[str, DataFrame] = {}
         for e in self.edges:
             part = e.df.select(F.expr(e.id).cast("long").alias(ID), mapped(e.src, e.source).alias(SRC), mapped(e.dst, e.target).alias(DST), *[f"`{p}`" for p in e.properties])
+            part = part.filter(F.col(SRC).isNotNull() & F.col(DST).isNotNull())
             edges[e.type] = part if e.type not in edges else edges[e.type].unionByName(part, allowMissingColumns=True)
-        return replace(PropertyGraph.generic(nodes, edges, self.labels()), indexes=self.indexes, constraints=self.constraints)
+        out = PropertyGraph.generic(nodes, edges, self.labels())
+        known = {(e.type, "nodes", "nodes", end): all(self.intact(x, end) for x in self.edges if x.type == e.type) for e in out.edges for end in ("src", "dst")}
+        return replace(out, indexes=self.indexes, constraints=self.constraints, known=known)
 
     def frozen(self) -> PropertyGraph:
         """The same graph read from written tables."""

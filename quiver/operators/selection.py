@@ -53,7 +53,7 @@ def _bucket(v: Column, lo: Column, hi: Column, double: bool, buckets: int) -> Co
 
 
 def select_rank(
-    rows: DataFrame, group: Sequence[str], order: Sequence[str], rank: Column, buckets: int = 4096, finish: int = 2048
+    rows: DataFrame, group: Sequence[str], order: Sequence[str], rank: Column, buckets: int = 4096, finish: int = 2048, weight: str | None = None
 ) -> DataFrame:
     """The row of each group whose 1-based number in ``order`` is ``rank``.
 
@@ -62,7 +62,8 @@ def select_rank(
     once per round until a tenth is left.  Order columns are integers or
     doubles without nulls (rows with a null there are left out); null group
     values form groups of their own.  Rows equal in all of ``order`` are
-    interchangeable, one of them comes out.  Groups of at most ``finish``
+    interchangeable, one of them comes out.  ``weight`` names an integer column
+    that says for how many rows each one stands.  Groups of at most ``finish``
     remaining rows are ranked by a window, whose size is so bounded.
     """
     group, order = list(group), list(order)
@@ -70,48 +71,50 @@ def select_rank(
     names = [n for n, _, _ in parts]
     gs = [f"_g{i}" for i in range(len(group))]
     whole = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in order])  # dropna would drop NaN too
-    base = rows.filter(whole).select(*[F.col(f"`{g}`").alias(a) for g, a in zip(group, gs)], *[e.alias(n) for n, e, _ in parts])
+    many = F.lit(1) if weight is None else F.col(f"`{weight}`").cast("bigint")
+    base = rows.filter(whole).select(*[F.col(f"`{g}`").alias(a) for g, a in zip(group, gs)], *[e.alias(n) for n, e, _ in parts], many.alias("_w"))
+    counts_of = lambda: (F.sum("_w").alias("n"), F.count(F.lit(1)).alias("m"))  # noqa: E731  n: the rows stood for, m: the rows there are
     ends = lambda: [f(n).alias(f"{p}{n}") for n in names for f, p in ((F.min, "lo"), (F.max, "hi"))]
-    cursor = base.groupBy(*gs).agg(F.count(F.lit(1)).alias("n"), *ends())
+    cursor = base.groupBy(*gs).agg(*counts_of(), *ends())
     cursor = cursor.withColumn("r", (rank - 1).cast("bigint")).filter((F.col("r") >= 0) & (F.col("r") < F.col("n")))
     cursor = materialise(cursor, "rank-cursor")
     wide = reduce(lambda a, b: a + b, [F.coalesce(F.length(F.col(g).cast("string")), F.lit(0)) for g in gs], F.lit(16 * (len(names) + 2)))
-    size, everything = cursor.agg(F.sum(wide.cast("bigint")), F.sum("n")).first()
+    size, everything = cursor.agg(F.sum(wide.cast("bigint")), F.sum("m")).first()
     small, everything, total = (size or 0) * 4 <= SMALL, everything or 0, None
 
     def narrowed(cursor: DataFrame) -> DataFrame:
         """The remaining rows, beside their group's cursor."""
-        c = cursor.select(*[F.col(g).alias(f"c{g}") for g in gs], "n", "r", *[f"{p}{n}" for n in names for p in ("lo", "hi")])
+        c = cursor.select(*[F.col(g).alias(f"c{g}") for g in gs], F.col("m").alias("cm"), "r", *[f"{p}{n}" for n in names for p in ("lo", "hi")])
         on = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"c{g}")) for g in gs], F.lit(True))
         left = reduce(lambda a, b: a & b, [(F.col(n) >= F.col(f"lo{n}")) & (F.col(n) <= F.col(f"hi{n}")) for n in names])
         if small:
             return base.join(F.broadcast(c), on).filter(left)
-        hot = F.col("n") * SHARE > everything
+        hot = F.col("cm") * SHARE > everything
         return base.join(F.broadcast(c.filter(hot)), on).filter(left).unionByName(base.join(c.filter(~hot), on).filter(left))
 
     settled = reduce(lambda a, b: a & b, [F.col(f"lo{n}") == F.col(f"hi{n}") for n in names])
     while True:
         todo, rows_left, groups = cursor.agg(
-            F.sum((~settled & (F.col("n") > finish)).cast("int")), F.sum("n"), F.count(F.lit(1))
+            F.sum((~settled & (F.col("m") > finish)).cast("int")), F.sum("m"), F.count(F.lit(1))
         ).first()
         if not groups or not todo:
             break
         if total is None:
             total = rows_left
         elif rows_left * 10 < total:  # only what the cursors still hold is read from here on
-            base, total = materialise(narrowed(cursor).select(*gs, *names), "rank-rest"), rows_left
-        open_ = ~settled & (F.col("n") > finish)
+            base, total = materialise(narrowed(cursor).select(*gs, *names, "_w"), "rank-rest"), rows_left
+        open_ = ~settled & (F.col("m") > finish)
         number = None
         for n, _, double in reversed(parts):
             b = _bucket(F.col(n), F.col(f"lo{n}"), F.col(f"hi{n}"), double, buckets)
             number = b if number is None else F.when(F.col(f"lo{n}") != F.col(f"hi{n}"), b).otherwise(number)
-        counts = narrowed(cursor.filter(open_)).withColumn("b", number).groupBy(*gs, "r", "b").agg(F.count(F.lit(1)).alias("n"), *ends())
+        counts = narrowed(cursor.filter(open_)).withColumn("b", number).groupBy(*gs, "r", "b").agg(*counts_of(), *ends())
         upto = F.sum("n").over(Window.partitionBy(*gs).orderBy("b"))
         chosen = counts.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n")).filter((F.col("r") >= F.col("before")) & (F.col("r") < F.col("upto")))
         refined = chosen.withColumn("r", F.col("r") - F.col("before")).select(*cursor.columns)
         cursor = materialise(refined.unionByName(cursor.filter(~open_)), "rank-cursor")
-    number = F.row_number().over(Window.partitionBy(*gs).orderBy(*names))
-    ranked = narrowed(cursor.filter(~settled)).withColumn("_no", number).filter(F.col("_no") == F.col("r") + 1)
+    upto = F.sum("_w").over(Window.partitionBy(*gs).orderBy(*names).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = narrowed(cursor.filter(~settled)).withColumn("_upto", upto).filter((F.col("r") < F.col("_upto")) & (F.col("r") >= F.col("_upto") - F.col("_w")))
     single = cursor.filter(settled).select(*gs, *[F.col(f"lo{n}").alias(n) for n in names])
     found = ranked.select(*gs, *names).unionByName(single)
     back, kinds = [], dict(rows.dtypes)

@@ -12,6 +12,10 @@ from quiver.lang.parser import default_name
 from quiver.plans.expressions import NodeB, QueryError, RelB, Scope, ValB, walk
 from quiver.plans.patterns import Matcher, _columns, optional_match, semi_join, usage
 from quiver.functions.registry import AGGREGATES
+from quiver.operators.selection import select_rank
+from quiver.workdir import materialise
+
+BOUNDED = 100_000  # different values of a group that a window may rank
 
 
 def is_aggregate(e) -> bool:
@@ -63,7 +67,7 @@ class Aggregation:
 
     def __init__(self, scope: Scope):
         self.scope, self.found = scope, {}
-        self.discrete: list[tuple[A.Call, str]] = []
+        self.ranked: list[tuple[str, str, float, bool, bool]] = []
         self.empty: dict[str, str] = {}
 
     def need(self, e: A.Expr) -> None:
@@ -114,9 +118,7 @@ class Aggregation:
         p = s.compile(e.args[1])
         share = p.lit if isinstance(p.lit, (int, float)) else s.spark.sql(f"SELECT CAST({p.sql} AS DOUBLE)").first()[0]
         share = 0.5 if share is None or share != share or abs(share) == float("inf") else min(1.0, max(0.0, float(share)))
-        if kind == "percentilecont":
-            return F.expr(f"percentile({distinct}CAST({v.sql} AS DOUBLE), {share}D)").alias(name)
-        self.discrete.append((name, v.sql, share, e.distinct))
+        self.ranked.append((name, v.sql, share, e.distinct, kind == "percentilecont"))
         return None
 
     def run(self, keys: list[str], carried: list[str]) -> DataFrame:
@@ -126,25 +128,45 @@ class Aggregation:
         first = [F.first(f"`{c}`").alias(c) for c in carried]
         ks = [F.col(f"`{k}`") for k in keys]
         out = df.groupBy(*ks).agg(*columns, *first) if columns or first else df.select(*ks).distinct() if keys else df.groupBy().agg(F.count(F.lit(1)).alias("_rows"))
-        for name, sql, share, distinct in self.discrete:
-            out = self._ranked(df, out, keys, name, sql, share, distinct)
+        for name, sql, share, distinct, between in self.ranked:
+            out = self._percentile(df, out, keys, name, sql, share, distinct, between)
         return out
 
-    def _ranked(self, df: DataFrame, out: DataFrame, keys: list[str], name: str, sql: str, share: float, distinct: bool) -> DataFrame:
-        """percentileDisc: the value at round(share * (n - 1)), from counts of the distinct values."""
-        v = f"{name}_v"
-        counts = df.select(*[F.col(f"`{k}`") for k in keys], F.expr(f"CAST({sql} AS DOUBLE)").alias(v)).filter(F.col(v).isNotNull()).groupBy(*keys, v).agg(F.count(F.lit(1)).alias("_c"))
-        if distinct:
-            counts = counts.withColumn("_c", F.lit(1))
-        w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys])
-        counts = counts.withColumn("_upto", F.sum("_c").over(w.orderBy(v))).withColumn("_n", F.sum("_c").over(w))
-        at = F.round(F.lit(share) * (F.col("_n") - 1))
-        hit = counts.filter((at >= F.col("_upto") - F.col("_c")) & (at < F.col("_upto")))
-        hit = hit.select(*[F.col(f"`{k}`").alias(f"{name}_{i}") for i, k in enumerate(keys)], F.col(v).alias(name))
+    def _percentile(self, df: DataFrame, out: DataFrame, keys: list[str], name: str, sql: str, share: float, distinct: bool, between: bool) -> DataFrame:
+        """The value at place share * (n - 1) of each group: the nearest one, or ``between`` its two neighbours.
+
+        Values are counted first, map-side.  Where no group has more than
+        BOUNDED different ones a window ranks them; elsewhere the counts are
+        narrowed down by histograms, and no task holds a group.
+        """
+        v, ks = f"{name}_v", [f"{name}_{i}" for i in range(len(keys))] or [f"{name}_all"]
+        named = [F.col(f"`{k}`").alias(x) for k, x in zip(keys, ks)] or [F.lit(0).alias(ks[0])]
+        counts = df.select(*named, F.expr(f"CAST({sql} AS DOUBLE)").alias(v)).filter(F.col(v).isNotNull()).groupBy(*ks, v).agg(F.count(F.lit(1)).alias("_c"))
+        counts = materialise(counts.withColumn("_c", F.lit(1).cast("bigint")) if distinct else counts, "percentile")
+        most = counts.groupBy(*ks).count().agg(F.max("count")).first()[0] or 0
+        place = F.lit(share) * (F.col("n") - 1)
+        ranks = {"_lo": F.floor(place), "_hi": F.ceil(place)} if between else {"_lo": F.round(place)}
+        if most <= BOUNDED:
+            w = Window.partitionBy(*ks)
+            ranked = counts.withColumn("_upto", F.sum("_c").over(w.orderBy(v))).withColumn("n", F.sum("_c").over(w))
+            at = lambda r: F.max(F.when((r >= F.col("_upto") - F.col("_c")) & (r < F.col("_upto")), F.col(v)))
+            hit = ranked.groupBy(*ks).agg(F.first("n").alias("n"), *[at(r).alias(x) for x, r in ranks.items()])
+        else:
+            size = counts.groupBy(*ks).agg(F.sum("_c").alias("n"))
+            hit = size.select(*[F.col(k).alias(f"{k}_n") for k in ks], "n")
+            for x, r in ranks.items():
+                one = select_rank(counts, ks, [v], r + 1, weight="_c").select(*[F.col(k).alias(f"{k}{x}") for k in ks], F.col(v).alias(x))
+                hit = hit.join(one, reduce(lambda a, b: a & b, [F.col(f"{k}_n").eqNullSafe(F.col(f"{k}{x}")) for k in ks]), "left")
+            hit = hit.select(*[F.col(f"{k}_n").alias(k) for k in ks], "n", *ranks)
+        value = F.col("_lo")
+        if between:
+            part = place - F.floor(place)
+            value = F.when((part == 0) | (F.col("_lo") == F.col("_hi")), F.col("_lo")).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * part)
+        hit = hit.select(*ks, value.alias(name))
         if not keys:
-            return out.join(hit, F.lit(True), "left")
-        on = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"{name}_{i}")) for i, k in enumerate(keys)])
-        return out.join(hit, on, "left").drop(*[f"{name}_{i}" for i in range(len(keys))])
+            return out.join(hit.drop(*ks), F.lit(True), "left")
+        on = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(x)) for k, x in zip(keys, ks)])
+        return out.join(hit, on, "left").drop(*ks)
 
 
 def _comparison(order: list[tuple[str, bool]]) -> str:
@@ -235,8 +257,6 @@ class Compiler:
 
     def call(self, scope: Scope, c: A.CallSub) -> Scope:
         """A subquery for every row: it runs on the rows themselves, which carry a number that all its steps keep."""
-        from quiver.workdir import materialise
-
         unit(scope)
         row = scope.fresh("row")
         scope.df = materialise(scope.df.withColumn(row, F.monotonically_increasing_id()), "call")

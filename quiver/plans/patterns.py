@@ -4,6 +4,9 @@ A hop is an equi-join of the binding table with the edge table and, if more
 than the key of the far node is asked for, with its vertex table.  Which tables
 a variable can come from is settled before any join, by labels and by the ends
 of the relationship types, so most patterns touch one table for each variable.
+An end of which no more than the key is asked for isn't read where the graph
+knows that all its keys are nodes; elsewhere a semi-join sees to it that a
+relationship with a missing end never matches, whatever is returned.
 """
 
 from __future__ import annotations
@@ -146,7 +149,7 @@ def scan_edges(scope: Scope, hop: Hop, name: str, loops_once: bool) -> tuple[Dat
         if vary:
             x, y = (e.target, e.source) if back else (e.source, e.target)
             cols += [f"{quoted(x)} AS `{base}_fromt`", f"{quoted(y)} AS `{base}_tot`"]
-        df = e.df.selectExpr(*cols)
+        df = e.df.selectExpr(*cols).filter(f"`{base}_from` IS NOT NULL AND `{base}_to` IS NOT NULL")
         if back and loops_once and e.source == e.target:
             df = df.filter(f"`{base}_src` <> `{base}_dst`")
         parts.append(df)
@@ -252,6 +255,17 @@ class Matcher:
         also = f" AND {own} = {other}" if (b.tab or tab) else ""
         return F.expr(f"`{b.id}` = `{column}`{also}")
 
+    def _real(self, df: DataFrame, column: str, tab: str | None, h: Hop, far: bool) -> DataFrame:
+        """``df`` without rows at whose ``column``, an end of a hop, there is no node; the nodes are only read where that may be."""
+        ends = [(e, "src" if far == back else "dst", (e.source if far == back else e.target)) for e, back in h.options]
+        if all(self.s.graph.intact(e, end) for e, end, _ in ends):
+            return df
+        key = self.s.fresh("real")
+        tables = dict.fromkeys(t for _, _, t in ends)
+        keys = [self.s.graph.node_table(t).df.selectExpr(f"`{self.s.graph.node_table(t).id}` AS `{key}`", f"{quoted(t)} AS `{key}_t`") for t in tables]
+        on = f"`{column}` = `{key}`" + (f" AND {tab} = `{key}_t`" if tab else "")
+        return df.join(reduce(lambda a, b: a.unionByName(b), keys), F.expr(on), "left_semi")
+
     def _check(self, n: A.NodeP, b: NodeB) -> None:
         """Labels that the tables leave open, and properties."""
         for group in n.labels:
@@ -377,7 +391,7 @@ class Matcher:
             # the near node's own row holds the edge
             if e.owner == near and left is not None and left.tab is None and e.id.strip("`") in {*left.props, s.graph.node_table(left.tables[0]).id} and self._columns_known(e, left):
                 rel, to = self._derived(e, left, far, r)
-                return self._arrive(rel, to, None, {x for _, x in h.ends()}, r, rn, right, wants, pn, pr)
+                return self._arrive(rel, to, None, h, r, rn, right, wants, pn, pr)
             # the far node's row is the edge: one scan gives both
             if e.owner == far and right is None and wants:
                 base = s.fresh(r.var or "rel")
@@ -387,7 +401,7 @@ class Matcher:
                 join = f"{base}_{near}"
                 if left is None:
                     left = self._from_edge(ln, join, None, {x for x, _ in h.ends()})
-                    self._add(df.filter(f"`{join}` IS NOT NULL"))
+                    self._add(self._near(df.filter(f"`{join}` IS NOT NULL"), ln, join, None, h))
                 else:
                     self._add(df, self._same(left, join, None, {x for x, _ in h.ends()}))
                 if r.var:
@@ -410,7 +424,7 @@ class Matcher:
                 left = self._from_edge(ln, near, None, {x for x, _ in ends})
             else:
                 s.df = s.df.filter(self._same(left, near, None, {x for x, _ in ends}))
-            return self._arrive(bound_rel, far, None, {x for _, x in ends}, r, rn, right, wants, pn, pr)
+            return self._arrive(bound_rel, far, None, h, r, rn, right, wants, pn, pr)
         df, rel, a, b, ta, tb = scan_edges(s, h, r.var or "rel", r.direction == "both")
         if bound_rel is not None:
             if isinstance(bound_rel, ValB):
@@ -423,11 +437,15 @@ class Matcher:
             if left is None:
                 left = self._from_edge(ln, a, ta, {x for x, _ in h.ends()})
         elif left is None:
-            self._add(df.filter(f"`{a}` IS NOT NULL AND `{b}` IS NOT NULL") if len(h.options) == 1 and h.options[0][0].owner else df)
+            self._add(self._near(df, ln, a, ta, h))
             left = self._from_edge(ln, a, ta, {x for x, _ in h.ends()})
         else:
             self._add(df, self._same(left, a, ta, {x for x, _ in h.ends()}))
-        return self._arrive(rel, b, tb, {x for _, x in h.ends()}, r, rn, right, wants, pn, pr)
+        return self._arrive(rel, b, tb, h, r, rn, right, wants, pn, pr)
+
+    def _near(self, df: DataFrame, n: A.NodeP, column: str, tab: str | None, h: Hop) -> DataFrame:
+        """An edge scan that stands for its near node too; one that is joined with the outer query's node anyway needs no look."""
+        return df if n.var in self.given else self._real(df, column, tab, h, False)
 
     def _columns_known(self, e: EdgeTable, left: NodeB) -> bool:
         own = {*left.props, self.s.graph.node_table(left.tables[0]).id}
@@ -451,8 +469,8 @@ class Matcher:
             self.s.vars[n.var] = b
         return b
 
-    def _arrive(self, rel: RelB, to: str, tab: str | None, tables: set[str], r: A.RelP, rn: A.NodeP, right, wants: bool, pn: list, pr: list) -> NodeB:
-        s = self.s
+    def _arrive(self, rel: RelB, to: str, tab: str | None, h: Hop, r: A.RelP, rn: A.NodeP, right, wants: bool, pn: list, pr: list) -> NodeB:
+        s, tables = self.s, {x for _, x in h.ends()}
         if r.var:
             s.vars[r.var] = rel
         self._props(r.props, rel)
@@ -470,6 +488,8 @@ class Matcher:
             self._check(rn, right)
         else:
             right = self._from_edge(rn, to, tab, tables & set(self.tables[self._key(rn)]) or tables)
+            if rn.var not in self.given:
+                s.df = self._real(s.df, to, tab, h, True)
             if tab and len(tables) > len(self.tables[self._key(rn)]):
                 s.df = s.df.filter(f"{tab} IN ({', '.join(quoted(t) for t in self.tables[self._key(rn)])})")
         pn.append(right)
@@ -487,6 +507,7 @@ class Matcher:
     def _step(self, h: Hop, r: A.RelP, rich: bool):
         """One hop's rows: (frame, from, to, from table, to table, unique edge key SQL, edge struct SQL, node frame)."""
         df, rel, a, b, ta, tb = scan_edges(self.s, h, r.var or "rel", r.direction == "both")
+        df = self._real(df, b, tb, h, True)
         if r.props is not None:
             inner = self.s.clone(df, {})
             m = Matcher(inner, self.used)

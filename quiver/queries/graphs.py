@@ -12,6 +12,10 @@ _KEYS = {
 }
 
 
+#: what has been found out about the keys of each folder's tables, by application and folder
+_known: dict[tuple[str, str], dict] = {}
+
+
 def trade_graph(spark: SparkSession, sf: str) -> PropertyGraph:
     """Customers, orders, parts, suppliers, nations and regions; users and events; documents; embeddings.
 
@@ -24,10 +28,10 @@ def trade_graph(spark: SparkSession, sf: str) -> PropertyGraph:
     nodes.append(NodeTable("User", LazyFrame(lambda: frames["Event"].select("user_id").distinct()), "user_id", ("User",)))
     items = read("lineitem")
 
-    def owned(type_: str, source: str, target: str, of: str, src: str, dst: str) -> EdgeTable:
+    def owned(type_: str, source: str, target: str, of: str, src: str, dst: str, *checked: str) -> EdgeTable:
         df = frames[source if of == "src" else target]
         key = _KEYS[source if of == "src" else target][1]
-        return EdgeTable(type_, df, key, src, dst, source, target, of, ("*",))
+        return EdgeTable(type_, df, key, src, dst, source, target, of, ("*",), checked)
 
     line = "(l_orderkey * 10 + l_linenumber)"
     edges = (
@@ -37,10 +41,10 @@ def trade_graph(spark: SparkSession, sf: str) -> PropertyGraph:
         owned("IN_NATION", "Customer", "Nation", "src", "c_custkey", "c_nationkey"),
         owned("IN_NATION", "Supplier", "Nation", "src", "s_suppkey", "s_nationkey"),
         owned("IN_REGION", "Nation", "Region", "src", "n_nationkey", "n_regionkey"),
-        owned("DID", "User", "Event", "dst", "user_id", "event_id"),
+        owned("DID", "User", "Event", "dst", "user_id", "event_id", "src"),  # users are taken from the events
     )
     indexes = (
         IndexDef("doc_text", "FULLTEXT", "NODE", ("Document",), ("text",)),
         IndexDef("emb", "VECTOR", "NODE", ("Embedding",), ("embedding",), {"similarity": "cosine"}),
     )
-    return PropertyGraph(spark, tuple(nodes), edges, indexes=indexes)
+    return PropertyGraph(spark, tuple(nodes), edges, indexes=indexes, known=_known.setdefault((spark.sparkContext.applicationId, sf), {}))
