@@ -11,7 +11,7 @@ from quiver.graph.mapping import NodeMapping, RelationshipMapping, add_nodes, ad
 from quiver.graph.property_graph import EdgeTable, IndexDef, NodeTable, PropertyGraph
 from quiver.queries.graphs import trade_graph
 from quiver.sources.files import read_csv, read_json_array, read_json_lines, write_csv, write_json_array, write_json_lines
-from quiver.streaming.ingest import file_stream, ingest, run_to_table, windowed_counts
+from quiver.streaming.ingest import file_stream, ingest, ingest_csv, run_to_table, windowed_counts
 from quiver.workdir import scratch_path
 
 
@@ -118,6 +118,49 @@ def files_csv(spark: SparkSession, sf: str) -> DataFrame:
     return read_csv(spark, path)[0]
 
 
+def files_csv_breaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents through CSV files: texts with line breaks and quotes, local times, dates."""
+    path = scratch_path(spark, "csv")
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "decided_on", "loaded_at", "docket")
+    write_csv(df, path)
+    rows, _ = read_csv(spark, path)
+    return rows.select("doc_id", F.md5("text").alias("text"), "decided_on", "loaded_at", "docket")
+
+
+def files_csv_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw import lines of a layout as files with its header, taken in as a stream: typed rows, and rejected ones by reason."""
+    path, target = scratch_path(spark, "csv"), scratch_path(spark, "csv-rows")
+    lines = spark.read.parquet(f"{sf}/events.parquet").selectExpr("concat_ws(',', event_id, if(event_id % 7 = 0, 'soon', date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")), if(event_id % 11 = 0, 'a\"b', event_type)) AS `id:long,at:localdatetime,kind:string`")
+    lines.write.option("quote", "").csv(path, header=True, sep="\t", quote="")
+    ingest_csv(spark, path, target, scratch_path(spark, "csv-checkpoint"))
+    good = spark.read.parquet(f"{target}/rows").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last"))
+    bad = spark.read.parquet(f"{target}/rejected").groupBy(F.concat(F.lit("bad "), "reason").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("timestamp_ntz").alias("last"))
+    return good.unionByName(bad)
+
+
+def some_parts(spark: SparkSession, sf: str) -> PropertyGraph:
+    """The trade graph without the parts of size 25 or more, so that line items point at parts that aren't there."""
+    g = trade_graph(spark, sf)
+    return replace(g, nodes=tuple(replace(t, df=t.df.filter("p_size < 25")) if t.name == "Part" else t for t in g.nodes), known={})
+
+
+def dangling_ends(spark: SparkSession, sf: str) -> DataFrame:
+    """A relationship without its end never matches, whether or not anything of the end is returned."""
+    engine = Engine(some_parts(spark, sf))
+    texts = (
+        "MATCH (o:Order)-[l:CONTAINS]->(p:Part) RETURN 'key' AS q, p.p_partkey AS p, count(*) AS n",
+        "MATCH (o:Order)-[l:CONTAINS]->(p:Part) RETURN 'property' AS q, p.p_partkey AS p, count(p.p_name) AS n",
+        "MATCH (p:Part)<-[:CONTAINS]-() RETURN 'first' AS q, id(p) AS p, count(*) AS n",
+        "MATCH (o:Order)-[:CONTAINS*1..2]->(p) RETURN 'walk' AS q, id(p) AS p, count(*) AS n",
+    )
+    frames = [engine.execute(t) for t in texts]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2]).unionByName(frames[3])
+
+
+def dangling_count(spark: SparkSession, sf: str) -> DataFrame:
+    return Engine(some_parts(spark, sf)).execute("MATCH ()-[l:CONTAINS]->() RETURN l.l_returnflag AS f, count(*) AS n")
+
+
 def files_json_lines(spark: SparkSession, sf: str) -> DataFrame:
     path, df = scratch_path(spark, "jsonl"), spark.read.parquet(f"{sf}/part.parquet")
     write_json_lines(df, path)
@@ -184,7 +227,7 @@ def result_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {name: _steps(name) for name in STEPS} | {
     "vector_query_relationships": vector_query_relationships, "fulltext_query_relationships": fulltext_query_relationships, "graph_neighbours": graph_neighbours, "result_stream": result_stream,
-    "graph_degree": graph_degree, "graph_save_load": graph_save_load, "files_csv": files_csv, "files_json_lines": files_json_lines,
+    "graph_degree": graph_degree, "graph_save_load": graph_save_load, "files_csv": files_csv, "files_csv_breaks": files_csv_breaks, "files_csv_rejected": files_csv_rejected, "dangling_ends": dangling_ends, "dangling_count": dangling_count, "files_json_lines": files_json_lines,
     "files_json_array": files_json_array, "mapping_import": mapping_import, "stream_import": stream_import, "stream_windows": stream_windows,
 }
 
@@ -208,6 +251,14 @@ WITH d AS (
 SELECT t AS "table", degree, count(*) AS n FROM (SELECT t, k, count(*) AS degree FROM d GROUP BY 1, 2) GROUP BY 1, 2""",
     "graph_save_load": "SELECT s_name AS s, n_name AS n, r_name AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey",
     "files_csv": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
+    "files_csv_breaks": "SELECT doc_id, md5(nullif(text, '')) AS text, decided_on, loaded_at, nullif(docket, '') AS docket FROM documents",
+    "files_csv_rejected": """
+WITH e AS (SELECT CASE WHEN event_id % 11 = 0 THEN 'bad quoting' WHEN event_id % 7 = 0 THEN 'bad value' ELSE event_type END AS kind, date_trunc('second', ts) AS seen FROM events)
+SELECT kind, count(*) AS n, max(CASE WHEN kind NOT LIKE 'bad %' THEN seen END) AS last FROM e GROUP BY 1""",
+    "dangling_ends": """
+WITH p AS (SELECT l_partkey AS p, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE p_size < 25 GROUP BY 1)
+SELECT q, p, n FROM p, (VALUES ('key'), ('property'), ('first'), ('walk')) t(q)""",
+    "dangling_count": "SELECT l_returnflag AS f, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE p_size < 25 GROUP BY 1",
     "files_json_lines": "SELECT * FROM part",
     "files_json_array": "SELECT * FROM supplier",
     "mapping_import": "SELECT c_name AS b, n_name AS c, c_acctbal AS bal FROM customer JOIN nation ON n_nationkey = c_nationkey",

@@ -25,21 +25,22 @@ _NEXT = {
 SEPARATOR = 0xFF  # never a byte of UTF-8
 
 
-def _monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(product table, states by element, element of each byte class); element 0 is the identity."""
+def _monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, int]]:
+    """(product table, states by element, element of each byte class, element that leads to a state whatever was before); element 0 is the identity."""
     elements = [tuple(range(5))]
     index = {elements[0]: 0}
+    into = {s: (s,) * 5 for s in (START, QUOTED)}
     for f in elements:
-        for g in _NEXT.values():
+        for g in (*_NEXT.values(), *into.values()):
             h = tuple(g[s] for s in f)
             if h not in index:
                 index[h] = len(elements)
                 elements.append(h)
     product = np.array([[index[tuple(g[s] for s in f)] for g in elements] for f in elements], dtype=np.uint8)
-    return product, np.array(elements, dtype=np.uint8), np.array([index[_NEXT[c]] for c in range(4)], dtype=np.uint8)
+    return product, np.array(elements, dtype=np.uint8), np.array([index[_NEXT[c]] for c in range(4)], dtype=np.uint8), {s: index[f] for s, f in into.items()}
 
 
-_PRODUCT, _STATES, _OF_CLASS = _monoid()
+_PRODUCT, _STATES, _OF_CLASS, _RESET = _monoid()
 _WIDTH = len(_STATES)
 _FLAT = _PRODUCT.ravel()
 _CLASS = np.zeros(256, dtype=np.uint8)
@@ -65,6 +66,37 @@ def _prefixes(elements: np.ndarray, chunk: int) -> np.ndarray:
     return np.ascontiguousarray(by_step.T).ravel()[:n]
 
 
+def open_quotes(lines: pa.Array, chunk: int = 256) -> np.ndarray:
+    """Two rows of booleans: whether the end of each line lies within quotes if its start does not, and if it does.
+
+    A line that starts within quotes begins in the middle of a cell.
+    """
+    lines = lines.cast(pa.large_string()).fill_null("")
+    if lines.offset:
+        lines = pa.concat_arrays([lines])
+    m = len(lines)
+    ends = np.frombuffer(lines.buffers()[1], dtype=np.int64, count=m + 1) if m else np.zeros(1, np.int64)
+    data = np.frombuffer(lines.buffers()[2], dtype=np.uint8)[ends[0]:ends[-1]] if lines.buffers()[2] is not None else np.zeros(0, np.uint8)
+    at = ends[1:] - ends[0] + np.arange(m)
+    text = np.full(len(data) + m, SEPARATOR, dtype=np.uint8)
+    inner = np.ones(len(text), dtype=bool)
+    inner[at] = False
+    text[inner] = data
+    # each line's product: the prefix up to its end, taken from a start of its own
+    elements = _OF_CLASS[_CLASS[text]]
+    out = np.zeros((2, m), dtype=bool)
+    starts = np.append(0, at[:-1] + 1) if m else at
+    for h, opened in enumerate((False, True)):
+        e = elements.copy()
+        # a line's end puts the tokenizer where the next line is to start
+        e[at] = _RESET[QUOTED if opened else START]
+        states = _STATES[_prefixes(e, chunk), QUOTED if opened else START]
+        last = at - 1
+        before = np.where(last >= starts, states[np.maximum(last, 0)], QUOTED if opened else START)
+        out[h] = before == QUOTED
+    return out
+
+
 class Cells:
     """What the tokenizer makes of an array of raw records (nulls count as empty).
 

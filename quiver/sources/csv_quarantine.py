@@ -77,6 +77,32 @@ def parse_lines(lines: DataFrame, header: DataFrame, carry: tuple[str, ...] = ("
     return joined.mapInArrow(run, schema)
 
 
+def _number(value: Column, pattern: str) -> Column:
+    """The digits that a pattern's group finds: 0 if there are none, null beyond 64 bits."""
+    digits = F.regexp_extract(value, pattern, 1)
+    return F.when(digits == "", F.lit(0)).otherwise(digits.try_cast("bigint")).cast("bigint")
+
+
+def _time(value: Column, local: bool) -> Column:
+    """A time of day as the query language holds it: nanoseconds, and the offset in seconds unless it is local."""
+    part = F.rpad(F.regexp_extract(value, r"\.([0-9]+)", 1), 9, "0")
+    seconds = _number(value, "^([0-9]{2})") * 3600 + _number(value, "^[0-9]{2}:([0-9]{2})") * 60 + _number(value, "^[0-9]{2}:[0-9]{2}:([0-9]{2})")
+    nanos = seconds * 1_000_000_000 + part.cast("bigint")
+    if local:
+        return F.when(value.isNotNull(), F.struct(nanos.alias("local_nanos")))
+    zone = _number(value, "[+-]([0-9]{2}):[0-9]{2}$") * 3600 + _number(value, "[+-][0-9]{2}:([0-9]{2})$") * 60
+    return F.when(value.isNotNull(), F.struct(nanos.alias("time_nanos"), (F.when(value.rlike("-[0-9]{2}:[0-9]{2}$"), -zone).otherwise(zone)).cast("int").alias("offset")))
+
+
+def _duration(value: Column) -> Column:
+    """A duration as the query language holds it."""
+    date, clock = F.substring_index(value, "T", 1), F.when(value.contains("T"), F.substring_index(value, "T", -1)).otherwise("")
+    months = _number(date, "([0-9]+)Y") * 12 + _number(date, "([0-9]+)M")
+    seconds = _number(clock, "([0-9]+)H") * 3600 + _number(clock, "([0-9]+)M") * 60 + _number(clock, "([0-9]+)S")
+    fields = (months.alias("months"), _number(date, "([0-9]+)D").alias("days"), seconds.alias("seconds"), F.lit(0).cast("bigint").alias("nanos"))
+    return F.when(value.isNotNull(), F.struct(*fields))
+
+
 def typed(value: Column, kind: str) -> Column:
     """A cell that is valid for ``kind`` as a value of Spark's type."""
     kind = kind.lower()
@@ -92,6 +118,12 @@ def typed(value: Column, kind: str) -> Column:
         return value.cast("date")
     if kind == "datetime":
         return value.cast("timestamp")
+    if kind == "localdatetime":
+        return value.cast("timestamp_ntz")
+    if kind in ("time", "localtime"):
+        return _time(value, kind == "localtime")
+    if kind == "duration":
+        return _duration(value)
     if kind == "point":
         return F.from_json(value, "x double, y double")
     return value

@@ -59,6 +59,10 @@ def _real_time(v: pa.Array) -> np.ndarray:
     return ok & ~(zoned & ~_apply(v, zoned, lambda z: (_part(z, 20, 22) < 24) & (_part(z, 23, 25) < 60)))
 
 
+#: shapes of the local and clock types: seconds and their fraction may be left out
+_DAY, _CLOCK, _ZONE = "[0-9]{4}-[0-9]{2}-[0-9]{2}", r"(?:[01][0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9](?:\.[0-9]{1,9})?)?", "(?:Z|[+-](?:[01][0-9]|2[0-3]):[0-5][0-9])"
+
+
 def _no_constant(name: str):
     raise ValueError(name)
 
@@ -115,6 +119,12 @@ def valid(v: pa.Array, kind: str) -> np.ndarray:
     if kind == "datetime":
         shape = "[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:Z|[+-][0-9]{2}:[0-9]{2})"
         return empty | _apply(v, _matches(v, shape), _real_time)
+    if kind == "localdatetime":
+        return empty | _apply(v, _matches(v, f"{_DAY}T{_CLOCK}"), _real_day)
+    if kind == "localtime":
+        return empty | _matches(v, _CLOCK)
+    if kind == "time":
+        return empty | _matches(v, _CLOCK + _ZONE)
     if kind == "duration":
         n = "[0-9]+"
         shape = _matches(v, f"P(?:{n}Y)?(?:{n}M)?(?:{n}D)?(?:T(?:{n}H)?(?:{n}M)?(?:{n}S)?)?")

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from quiver.workdir import scratch_path
+from quiver.sources.csv_quarantine import typed_columns
+from quiver.sources.files import csv_lines, header_of, parse_csv
+from quiver.workdir import materialise, scratch_path
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, per_trigger: int = 1000) -> DataFrame:
@@ -44,6 +46,37 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, shape: Callable[[Dat
     _wait(q, timeout)
 
 
+def ingest_csv(spark: SparkSession, path: str, target: str, checkpoint: str, per_trigger: int = 1000, timeout: int | None = None) -> None:
+    """Append CSV files that have arrived to ``target``/rows, and their bad records with the reason to ``target``/rejected.
+
+    Files with typed headers, all alike; each is taken in once and whole, so
+    quoted cells may hold line breaks.  Micro-batches replace what an earlier
+    attempt of them wrote.
+    """
+    columns = header_of(csv_lines(spark.read, path), path)
+    stream = csv_lines(spark.readStream.option("maxFilesPerTrigger", per_trigger), path)
+
+    def write(batch: DataFrame, number: int) -> None:
+        parsed = materialise(parse_csv(batch, columns), "csv-batch")
+        parsed.filter("reason IS NULL").select(*typed_columns(columns, [])).write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
+        parsed.filter("reason IS NOT NULL").select("raw", "reason", "error_at", "error_cell").write.mode("overwrite").parquet(f"{target}/rejected/batch={number}")
+
+    _wait(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), timeout)
+
+
+def ingest_json_lines(spark: SparkSession, path: str, schema: T.StructType, target: str, checkpoint: str, per_trigger: int = 1000, timeout: int | None = None) -> None:
+    """The same for files of JSON lines; a line that isn't an object of the schema is rejected."""
+    own = T.StructType([*schema.fields, T.StructField("_raw", T.StringType())])
+    stream = spark.readStream.schema(own).option("maxFilesPerTrigger", per_trigger).option("columnNameOfCorruptRecord", "_raw").json(path)
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = materialise(batch, "json-batch")
+        rows.filter("_raw IS NULL").drop("_raw").write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
+        rows.filter("_raw IS NOT NULL").select(F.col("_raw").alias("raw")).write.mode("overwrite").parquet(f"{target}/rejected/batch={number}")
+
+    _wait(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), timeout)
+
+
 def windowed_counts(stream: DataFrame, time: str, keys: list[str], window: str, late: str) -> DataFrame:
     """Rows per key and window of event time; rows later than ``late`` behind the newest are dropped, windows come out once they are complete."""
     return (

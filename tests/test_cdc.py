@@ -48,3 +48,21 @@ def test_commits_and_checkpoints(spark):
     assert [(r.shard_id, r.tx_begin_lsn) for r in committed_mutations(p).collect()] == [(1, 10)]
     s = spark.createDataFrame([(1, 1, 5, 100), (1, 2, 9, None), (1, 3, 7, 50), (1, 3, 7, 50), (2, 4, 1, None)], "shard_id long, snapshot_id long, taken_at int, wal_lsn long")
     assert [tuple(r) for r in last_checkpoints(s).collect()] == [(1, 3, 50)]
+
+
+def test_without_deletes_without_files_and_compacted(spark, tmp_path):
+    t = EqualityDeleteTable(spark, f"file://{tmp_path}/t", ["k"], "k int, _seq long, v string")
+    assert t.current().count() == 0
+    t.append_rows(spark.createDataFrame([(1, 1, "a"), (1, 4, "b"), (2, 2, "c")], "k int, _seq long, v string"))
+    assert sorted((r.k, r.v) for r in t.current().collect()) == [(1, "b"), (2, "c")]
+    t.append(spark.createDataFrame([(2, 9, "d")], "k int, _seq long, v string"), spark.createDataFrame([(2, 5), (1, 6)], "k int, _seq long"))
+    want = sorted((r.k, r.v) for r in t.current().collect())
+    assert want == [(2, "d")]
+    t.compact()
+    assert sorted((r.k, r.v) for r in t.current().collect()) == want and t.rows().count() == 1
+    t.append_rows(spark.createDataFrame([(1, 3, "late")], "k int, _seq long, v string"))  # older than its delete
+    assert sorted((r.k, r.v) for r in t.current().collect()) == want
+    bare = EqualityDeleteTable(spark, f"file://{tmp_path}/b", ["k"])
+    assert bare.current().count() == 0
+    bare.append_deletes(spark.createDataFrame([(1, 1)], "k int, _seq long"))
+    assert bare.current().count() == 0

@@ -1,12 +1,14 @@
+import csv
 import random
 
 import pyarrow as pa
 import pytest
 
+from quiver.sources import csv_cells
 from quiver.sources.csv_cells import Cells
 from quiver.sources.csv_quarantine import parse_lines, typed_rows
 from quiver.sources.csv_values import valid
-from quiver.sources.files import BadRows, parse_header, read_csv, write_csv
+from quiver.sources.files import BadRows, _states, parse_header, read_csv, write_csv
 
 
 def simple(raw):
@@ -102,3 +104,57 @@ def test_files(spark, tmp_path):
         read_csv(spark, f"{tmp_path}/bad.csv")
     rows, bad = read_csv(spark, f"{tmp_path}/bad.csv", "permissive")
     assert [r.k for r in rows.collect()] == [1] and [r.reason for r in bad.collect()] == ["value"]
+
+
+def run_of(line, state):
+    for ch in line:
+        state = csv_cells._NEXT[csv_cells.QUOTE if ch == '"' else csv_cells.COMMA if ch == "," else csv_cells.OTHER][state]
+    return state == csv_cells.QUOTED
+
+
+def test_states_of_lines_compose():
+    rng = random.Random(3)
+    lines = ["".join(rng.choice('ab",x') for _ in range(rng.randint(0, 9))) for _ in range(2000)] + ["", None]
+    after = csv_cells.open_quotes(pa.array(lines), 7)
+    inside = _states(after, False)
+    now = False
+    for i, line in enumerate(lines):
+        assert (after[0][i], after[1][i]) == (run_of(line or "", csv_cells.START), run_of(line or "", csv_cells.QUOTED))
+        assert inside[i] == now
+        now = after[1][i] if now else after[0][i]
+    assert inside[-1] == now
+
+
+def test_quoted_line_breaks_across_splits(spark, tmp_path):
+    rng, want = random.Random(4), []
+    for f in range(2):
+        rows = [(i, "".join(rng.choice(["a", "\n", '"', ",", "b\r\n", "long " * rng.randint(1, 30)]) for _ in range(rng.randint(0, 6)))) for i in range(f * 40, f * 40 + 40)]
+        want += rows
+        with open(f"{tmp_path}/f{f}.csv", "w", newline="") as h:
+            h.write("k:int,s:string\n")
+            csv.writer(h, lineterminator="\r\n" if f else "\n").writerows(rows)
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows, bad = read_csv(spark, str(tmp_path), "permissive")
+        assert rows.rdd.getNumPartitions() > 1
+        assert sorted((r.k, r.s or "") for r in rows.collect()) == sorted(want) and bad.count() == 0
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+
+
+def test_rows_like_the_header_and_times(spark, tmp_path):
+    (tmp_path / "h.csv").write_text("a,b\n1,2\na,b\na,b\n")
+    assert sorted(map(tuple, read_csv(spark, f"{tmp_path}/h.csv")[0].collect())) == [("1", "2"), ("a", "b"), ("a", "b")]
+    (tmp_path / "t.csv").write_text("t:time,l:localtime,d:localdatetime,u:duration\n10:20:30.5+01:30,23:59,2024-02-29T10:00:00.25,P1Y2M3DT4H5M6S\n25:00Z,1:00,2024-02-30T10:00,P\n,,,\n")
+    rows, bad = read_csv(spark, f"{tmp_path}/t.csv", "permissive")
+    first = next(r for r in rows.collect() if r.t)
+    assert (first.t.time_nanos, first.t.offset, first.l.local_nanos, first.u.months, first.u.seconds) == (37230500000000, 5400, 86340000000000, 14, 14706)
+    assert first.d.isoformat() == "2024-02-29T10:00:00.250000" and [r.error_cell for r in bad.collect()] == [0]
+    write_csv(rows, f"{tmp_path}/back")
+    assert sorted(map(str, read_csv(spark, f"{tmp_path}/back")[0].collect())) == sorted(map(str, rows.collect()))
+    spaces = spark.createDataFrame([(" a ", 1)], "s string, k int")
+    write_csv(spaces, f"{tmp_path}/spaces")
+    assert read_csv(spark, f"{tmp_path}/spaces")[0].first().s == " a "

@@ -110,3 +110,40 @@ def test_taken_in_against_brute_force(spark):
     assert got == sorted((a, b) for a, b, c in recs if covered(a, b, c))
     none = taken_in(r, q.filter(F.lit(False)), s)
     assert none.count() == 0
+
+
+def test_a_key_with_several_contents_is_not_repeated(spark, tmp_path):
+    s = ChangeState(spark, f"file://{tmp_path}/several", ["k"], ["v"])
+    t = lambda *vs: spark.createDataFrame([(1, v) for v in vs], "k int, v string")
+    out = lambda df: sorted(r.v for r in df.collect())
+    assert s.run(t("x", "z"), out) == ["x", "z"]
+    assert s.run(t("x", "z"), out) == []
+    assert s.run(t("x", "y", "z"), out) == ["y"]
+    assert s.run(t("w"), out) == ["w"]
+    assert s.run(t("x"), out) == ["x"]  # back to an earlier content is a change
+
+
+def test_run_failure_rerun_and_rows_that_arrive_meanwhile(spark, tmp_path):
+    path = f"file://{tmp_path}/rows"
+    put = lambda k, v: spark.createDataFrame([(k, v)], "k int, v string").write.mode("append").parquet(path)
+    s = ChangeState(spark, f"file://{tmp_path}/meanwhile", ["k"])
+    put(1, "a")
+
+    def work(df):
+        got = sorted(r.k for r in df.collect())
+        if 2 not in arrived:
+            arrived.append(2)
+            put(2, "b")
+        return got
+
+    def broken(df):
+        df.count()
+        raise RuntimeError("lost")
+
+    arrived: list = []
+    with pytest.raises(RuntimeError):
+        s.run(spark.read.parquet(path), broken)
+    assert s.version() == 0
+    assert s.run(spark.read.parquet(path), work) == [1]
+    assert s.run(spark.read.parquet(path), work) == [2]  # it came during the run before
+    assert s.run(spark.read.parquet(path), work) == []

@@ -51,3 +51,14 @@ def test_against_brute_force(spark):
                 if x != y:
                     want.append((b, k, "added" if x is None else "removed" if y is None else "changed"))
     assert found(spark, info, nodes) == sorted(want)
+
+
+def test_several_contents_of_one_key_in_a_snapshot(spark):
+    info = [(1, 1, 1), (2, 1, 2)]
+    row = lambda snap, k, v: (snap, k, None, v, None, 0)
+    names = [f"n{i}" for i in range(5)]
+    nodes = [row(1, 1, n) for n in names] + [row(2, 1, n) for n in names] * 2
+    assert found(spark, info, nodes) == []
+    for gone in range(5):  # whichever hash lies in the middle
+        some = [row(1, 1, n) for n in names] + [row(2, 1, n) for i, n in enumerate(names) if i != gone]
+        assert found(spark, info, some) == [(2, 1, "changed")]

@@ -10,7 +10,7 @@ from quiver.queries import changes
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name, key, table", [("varlen_bounded_whole", "c", "customer"), ("all_shortest_paths_whole", "s", "supplier")])
+@pytest.mark.parametrize("name, key, table", [("varlen_bounded", "c", "customer"), ("all_shortest_paths", "s", "supplier")])
 def test_paths_from_every_row(spark, name, key, table):
     con = duckdb.connect()
     for t in ("customer", "orders", "nation", "supplier"):
