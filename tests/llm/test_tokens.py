@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from quiver.llm.tokens import PATTERN, Encoder, encode_documents, parse_ranks
+from quiver.llm.tokens import PATTERN, Encoder, Merges, encode_documents, parse_ranks
 
 FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -57,3 +58,37 @@ def test_round_trip_and_edges(spark, exact):
     back = sorted((r.doc_id, reference.decode(r.ids)) for r in out)
     assert back == sorted((k, t or "") for k, t, _ in rows)
     assert encode_documents(df.limit(0), FILE).count() == 0
+
+
+def test_pairs_are_judged_as_merging_would(exact):
+    ranks, _ = exact
+    e, token = Encoder(ranks), {r: b for b, r in ranks.items()}
+    m, rng, ids = e.merges, np.random.default_rng(3), np.array(sorted(ranks.values()))
+    assert all(m.whole[r] == (e.merge(token[r]) == [r]) for r in ids[::7].tolist())
+    for few in (300, 3000, len(ids)):  # short entries are merged with what follows more often
+        x, y = rng.choice(ids, 4000), rng.choice(ids[:few], 4000)
+        want = [e.merge(token[a] + token[b]) == [a, b] for a, b in zip(x.tolist(), y.tolist())]
+        assert m.apart(x, y).tolist() == want and 0 < sum(want) < 4000
+
+
+def test_only_failing_words_are_merged(exact, data):
+    import pyarrow.parquet as pq
+
+    ranks, _ = exact
+    e, asked = Encoder(ranks), []
+    merge = e.merge
+    e.merge = lambda word: asked.append(word) or merge(word)
+    e.encode(pq.read_table(f"{data}/documents.parquet").column("text").to_pylist())
+    raw = {w.encode("utf-8", "surrogatepass") for w in e.words}
+    assert len(asked) == len(set(asked)) == e.merged < len(raw)
+    fails = {w for w in raw if e.propose(w) != merge(w)}
+    assert fails <= set(asked) <= raw
+
+
+def test_a_vocabulary_with_entries_that_merging_never_makes():
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 258, b"cd": 259, b"xyz": 260, b"aa": 261, b"aaaa": 262}
+    e = Encoder(ranks, pattern=r"\S+|\s+")
+    assert not e.merges.whole[260] and e.merges.whole[258] and e.merges.whole[262]
+    words = ["abc", "abcd", "bcd", "xyz", "aaaaaaa", "cabcd", "x", ""]
+    assert e.encode(words).to_pylist() == [e.merge(w.encode()) for w in words]
+    assert Merges({}).width == 1
