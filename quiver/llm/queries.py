@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quiver.llm import boosted_trees
 from quiver.llm.leakage import find_passages
 from quiver.llm.neighbours import nearest_pairs
-from quiver.llm.repetition import STATISTICS, document_statistics
+from quiver.llm.repetition import document_statistics, repeated_documents
 from quiver.llm.tokens import encode_documents
-from quiver.workdir import materialise
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: rows that the trees of p9 are fitted on, at any size of the input
 FIT_ROWS = 4000
-#: fixed values of p9: least share, least words; and what follows for a case's other statistics
+#: fixed values of p9: least share, least words, words of a window
 LEAST_SHARE, LEAST_WORDS, WINDOW = 0.3, 20, 6
 
 
@@ -39,52 +33,28 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "item_id").distinct()
 
 
-def score_repetition(measured: DataFrame, key: str = "doc_id", rows: int = FIT_ROWS) -> tuple[DataFrame, float]:
-    """``measured`` with the trees' score, and the score below which no case can lie.
-
-    The trees are fitted on about ``rows`` rows, taken by a hash of the key,
-    whatever the number of documents.  All statistics are monotone features, so each case scores at least
-    as high as the corner where every statistic has the least value that a
-    case can have.
-    """
-    share = min(1 << 40, (rows << 40) // max(1, measured.count()))
-    sample = measured.filter(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < share).select(*STATISTICS).toPandas()
-    x = sample.to_numpy(dtype=np.float64)
-    y = ((x[:, 0] >= LEAST_SHARE) & (x[:, 1] >= LEAST_WORDS)).astype(np.float64)
-    model = boosted_trees.fit(x, y, np.ones(len(STATISTICS), dtype=np.int64))
-    corner = np.array([[LEAST_SHARE, LEAST_WORDS, WINDOW, LEAST_SHARE, 0.0]])
-    floor = float(model.score(corner)[0]) - 1e-9
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield p.assign(score=model.score(p[list(STATISTICS)].to_numpy(dtype=np.float64)))
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in measured.dtypes)
-    return measured.mapInPandas(run, f"{schema}, score double"), floor
-
-
 def p9_measured(spark: SparkSession, sf: str) -> DataFrame:
-    """The statistics and score of every document."""
-    measured = materialise(document_statistics(spark.read.parquet(f"{sf}/documents.parquet"), window=WINDOW), "p9-statistics")
-    return score_repetition(measured)[0]
+    """The number of words of every document and the share of them that is repeated."""
+    measured = document_statistics(spark.read.parquet(f"{sf}/documents.parquet"), window=WINDOW)
+    return measured.select("doc_id", F.col("words").cast("bigint").alias("words"), F.round("share", 6).alias("share"))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with much repeated content: candidates by the trees' score, then the exact rule."""
-    measured = materialise(document_statistics(spark.read.parquet(f"{sf}/documents.parquet"), window=WINDOW), "p9-statistics")
-    scored, floor = score_repetition(measured)
-    candidates = scored.filter(F.col("score") >= floor)
-    return candidates.filter((F.col("share") >= LEAST_SHARE) & (F.col("words") >= LEAST_WORDS)).select("doc_id").distinct()
+    """Documents with much repeated content: chosen by trees over cheap statistics, then counted exactly."""
+    chosen = repeated_documents(spark.read.parquet(f"{sf}/documents.parquet"), share=LEAST_SHARE, words=LEAST_WORDS, window=WINDOW, rows=FIT_ROWS)
+    return chosen.filter((F.col("share") >= LEAST_SHARE) & (F.col("words") >= LEAST_WORDS)).select("doc_id").distinct()
 
 
 QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_measured": p9_measured}
 
-SQL = {
-    "p9_found": """
+_WORDS = """
 WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '\\p{L}+'), lambda x: lower(x)) AS ws FROM documents),
   g AS (SELECT doc_id, len(ws) AS n, unnest(range(1, greatest(len(ws) - 4, 1))) AS i, ws FROM w),
   s AS (SELECT doc_id, n, i, array_to_string(ws[i : i + 5], ' ') AS six FROM g),
   r AS (SELECT doc_id, n, i FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, six ORDER BY i) AS rn FROM s) WHERE rn > 1),
-  c AS (SELECT DISTINCT doc_id, n, i + k AS place FROM r, range(0, 6) t(k))
-SELECT doc_id FROM c GROUP BY doc_id, n HAVING n >= 20 AND count(*) >= 0.3 * n""",
+  c AS (SELECT DISTINCT doc_id, n, i + k AS place FROM r, range(0, 6) t(k))"""
+
+SQL = {
+    "p9_found": f"{_WORDS} SELECT doc_id FROM c GROUP BY doc_id, n HAVING n >= 20 AND count(*) >= 0.3 * n",
+    "p9_measured": f"{_WORDS}, m AS (SELECT doc_id, count(*) AS k FROM c GROUP BY 1) SELECT doc_id, CAST(len(ws) AS BIGINT) AS words, round(coalesce(k, 0) / greatest(len(ws), 1), 6) AS share FROM w LEFT JOIN m USING (doc_id)",
 }

@@ -4,8 +4,8 @@ import numpy as np
 import pyarrow as pa
 
 from quiver.llm import boosted_trees
-from quiver.llm.queries import LEAST_SHARE, LEAST_WORDS, score_repetition
-from quiver.llm.repetition import document_statistics, statistics
+from quiver.llm.queries import LEAST_SHARE, LEAST_WORDS
+from quiver.llm.repetition import cheap_statistics, document_statistics, repeated_documents, statistics
 
 
 def share(text, window=6):
@@ -46,19 +46,38 @@ def test_lines():
     assert s["line_share"].tolist() == [0.5, 0.0]
 
 
-def test_documents_and_score(spark):
-    t = texts()
+def prose(rng, n):
+    return " ".join("".join(rng.choice("bcdfglmnr") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+def test_cheap_statistics():
+    rng = random.Random(3)
+    part = prose(rng, 40)
+    twice = f"{part}. {part.upper().replace(' ', chr(10))}"
+    t = [None, "", "a", part, twice, f"{part} {prose(rng, 40)}", "été " * 40, "本" * 90, twice + "é" * 5000]
+    for array in (pa.array(t, pa.string()), pa.array(["zz", *t, "zz"], pa.string()).slice(1, len(t))):
+        c, unknown = cheap_statistics(array)
+        assert c["starts"].tolist()[:6] == [0, 0, 1, 40, 80, 80] and unknown.tolist() == [False] * 6 + [True] * 3
+        assert c["again"][:4].tolist() == [0] * 4 and c["again"][4] >= 0.45 and c["run"][4] >= 36 and c["again"][5] == 0
+    both, _ = cheap_statistics(pa.array([part, part]))  # what another text holds isn't seen
+    assert both["again"].tolist() == [0, 0]
+    assert len(cheap_statistics(pa.array([], pa.string()))[1]) == 0
+
+
+def test_documents_chosen_by_trees(spark):
+    rng, t = random.Random(9), texts()
+    for _ in range(600):
+        part, others = prose(rng, rng.randint(10, 60)), [prose(rng, rng.randint(5, 60)) for _ in range(3)]
+        t.append(rng.choice([" ", "\n", ". "]).join(rng.sample([*others, *[part] * rng.choice([1, 1, 1, 1, 2, 4])], 3)))
     df = spark.createDataFrame([(i, x, 1.0) for i, x in enumerate(t)], "doc_id long, text string, share double")
-    measured = document_statistics(df)
-    scored, floor = score_repetition(measured)
-    rows = scored.collect()
-    assert len(rows) == len(t)
-    cases = [r for r in rows if r.share >= LEAST_SHARE and r.words >= LEAST_WORDS]
-    assert cases and all(r.score >= floor for r in cases)
-    rest = [r for r in rows if not (r.share >= LEAST_SHARE and r.words >= LEAST_WORDS)]
-    assert sum(r.score < floor for r in rest) > len(rest) / 2  # the trees set most others aside
-    assert document_statistics(df.limit(0)).count() == 0
-    assert score_repetition(document_statistics(df.limit(0)))[0].count() == 0
+    rows = repeated_documents(df).collect()
+    cases = {i for i, x in enumerate(t) if (s := share(x))[0] >= LEAST_SHARE and s[1] >= LEAST_WORDS}
+    assert {r.doc_id for r in rows if r.share >= LEAST_SHARE and r.words >= LEAST_WORDS} == cases and len(cases) > 50
+    assert len(rows) < len(t)  # some weren't counted
+    assert all((r.share, r.words) == share(t[r.doc_id]) for r in rows)
+    plain = df.filter("doc_id >= 308").filter(~df.doc_id.isin([i for i in cases]))
+    assert repeated_documents(plain).count() == plain.count()  # a sample without a case sets nothing aside
+    assert repeated_documents(df.limit(0)).count() == 0 and document_statistics(df.limit(0)).count() == 0
 
 
 def test_trees_are_monotone_and_learn():
