@@ -95,3 +95,30 @@ def test_only_beaten_chains_go():
     item = " ".join(["ab cd ef gh"] * 8 + ["ij kl mn op"])
     text = " ".join(["ab cd ef gh"] * 3 + ["xy"] + ["cd ef gh"] + ["ab cd ef gh"] * 20 + ["ij kl mn op"])
     assert hits(text, ((1, item),)) == [1]
+
+
+def test_scripts_without_blanks():
+    rng = random.Random(12)
+    item = "本院認為原告之訴無理由應予駁回訴訟費用由原告負擔並告知兩造當事人得於二十日內上訴"
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(4000))
+    thai = "ศาลพิพากษายกฟ้องโจทก์และให้โจทก์ใช้ค่าฤชาธรรมเนียมแทนจำเลย"
+    both = ((1, item), (2, thai))
+    assert hits(han[:900] + item + han[900:], both) == [1]
+    assert hits(f"{han[:300]}\n{item[:15]}\n{item[15:]}，{thai}。", both) == [1, 2]
+    assert hits(han[:500] + item[:12] + han[500:], both) == []
+    assert hits(f"{fill(30, 1)} {ITEM} {han[:50]} {fill(30, 2)}") == [1]
+
+
+def test_a_template_that_many_items_share():
+    import time
+
+    head = "according to the settled case law of the court"
+    items = [(i, f"{head} {fill(25, 1000 + i)}") for i in range(3000)]
+    found = Items(items, Settings())
+    text = " ".join(f"{head} {fill(30, 5000 + i)}" for i in range(50)) + f" {items[77][1]} "
+    began = time.process_time()
+    assert [p[0] for p in found.passages(text)] == [77]
+    assert time.process_time() - began < 20
+    longer = "according to the settled case law of the court the following question is to be decided now"
+    found = Items([(i, f"{longer} {fill(25, 1000 + i)}") for i in range(300)], Settings())
+    assert [p[0] for p in found.passages(f"{fill(20, 3)} {longer} {fill(20, 4)} {longer} {fill(25, 1042)}")] == [42]
