@@ -59,7 +59,7 @@ class PrunedGraph:
                     continue
                 out[lo + take, kept[take]] = c[take, j]
                 kept[take] += 1
-                covered = self.alpha * (1.0 - among[take, j]) <= gap[take]
+                covered = self.alpha * (1.0 - among[take, j]) <= gap[take] - 1e-6  # equal points, within single precision, keep their edges
                 alive[take] &= ~covered
         return out
 

@@ -111,3 +111,37 @@ def test_crowds_of_one_direction_at_many_norms(spark):
     crowd = lambda found: {p for p in found if not 1000 <= p[0] < 2000}
     assert crowd(got) == crowd(want) and len(crowd(want)) > 500
     assert len(got & want) / len(want) >= 0.95 and len(got & want) / len(got) >= 0.95
+
+
+def test_large_cells_get_cells_of_their_own(spark):
+    rows = [(i, "a", 24, e.tolist()) for i, e in enumerate(clustered(3000, 24, 2))] + [(10_000 + i, "b", 8, e.tolist()) for i, e in enumerate(clustered(400, 8, 3))]
+    rows += [(20_000 + i, f"c{i % 9}", 5, e.tolist()) for i, e in enumerate(clustered(60, 5, 4))]
+    want = truth(rows)
+    s = Settings(cell=20, shard=64, sample=160, known=2)  # beyond two collections the driver fits no cells
+    got = pairs(nearest_pairs(frame(spark, rows + rows[:50]), s))
+    assert len(got & want) / len(want) >= 0.95 and len(got & want) / len(got) >= 0.95
+
+
+def test_collections_that_the_sample_misses(spark):
+    rows = [(i, "a", 8, e.tolist()) for i, e in enumerate(clustered(400, 8, 2))] + [(900 + i, "b", 8, [1.0 + i / 50] + [1.0] * 7) for i in range(3)]
+    got = pairs(nearest_pairs(frame(spark, rows), Settings(sample=5)))
+    assert {(900, 901), (900, 902), (901, 902)} <= got and len(got & truth(rows)) > 0.9 * len(truth(rows))
+
+
+def test_an_id_with_several_contents_keeps_those_outside_a_crowd(spark):
+    crowd, other = [1.0, 0.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.1]
+    rows = [(i, "a", 4, crowd) for i in range(10)] + [(100, "a", 4, crowd), (100, "a", 4, other), (15, "a", 4, [0.0, 0.0, 1.0, 0.0])]
+    assert (15, 100) in pairs(nearest_pairs(frame(spark, rows)))
+
+
+def test_graphs_of_a_cell_do_not_grow_with_the_vectors():
+    s = Settings(sample=8000)
+    x = clustered(8000, 32, 7)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graphs = []
+    for size in (2_000_000, 20_000_000, 200_000_000):  # a fifth of the sample for a fifth of the vectors
+        c = fit_cells(x, size, s)
+        own = fit_cells(x[: int(8 * size / len(c.centroids) / s.cell)], int(size / len(c.centroids)), s, last=True)
+        assert c.deep.mean() > 0.9 or size == 2_000_000
+        graphs.append(((own if c.deep.any() else c).shards * (own if c.deep.any() else c).copies).mean())
+    assert max(graphs) < 4, graphs
