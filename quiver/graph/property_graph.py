@@ -58,6 +58,7 @@ class NodeTable:
     id: str
     labels: tuple[str, ...] = ()
     label_column: str | None = None
+    layers: int = 0  # changes that lie on top of what is written
 
     @property
     def properties(self) -> list[str]:
@@ -86,6 +87,7 @@ class EdgeTable:
     owner: str | None = None
     hidden: tuple[str, ...] = ()
     checked: tuple[str, ...] = ()
+    layers: int = 0
 
     @property
     def properties(self) -> list[str]:
@@ -125,6 +127,8 @@ class PropertyGraph:
     constraints: tuple[ConstraintDef, ...] = ()
     #: what is known of (edge type, source, target, end): whether all its keys are rows of the vertex table; shared by versions
     known: dict = field(default_factory=dict, compare=False, repr=False)
+    #: the next node id and relationship id, once they have been looked up
+    next_ids: tuple[int, int] | None = None
 
     # -- building ---------------------------------------------------------
     @staticmethod

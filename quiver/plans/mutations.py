@@ -1,9 +1,11 @@
 """Queries that change a graph: each gives a new version.
 
 A query's rows are computed once and written down; new ids come from the
-greatest id so far and the rows' own numbers, so nothing needs one task to see
-all rows.  Tables are changed by joins: rows are added by union, replaced by a
-left join on the id and removed by an anti-join.
+greatest id so far, which the graph remembers, and the rows' own numbers, so
+nothing needs one task to see all rows.  Only what a change touches is written:
+added rows go beside the tables, replaced ones beside an anti-join by id, and
+deletes are an anti-join.  After LAYERS changes a table is written whole.  As
+long as tables keep their own labels, a query reads only those it needs.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from quiver.plans.compiler import Compiler, unit
 from quiver.plans.expressions import NodeB, QueryError, RelB, Scope, ValB
 from quiver.plans.patterns import Matcher, scan_nodes, usage
 from quiver.plans.values import ident, kind, quoted
-from quiver.workdir import materialise
+from quiver.workdir import materialise, materialise_seen
+
+LAYERS = 12
 
 
 class ConstraintViolation(ValueError):
@@ -31,6 +35,7 @@ class Writer(Compiler):
 
     def __init__(self, spark: SparkSession, graph: PropertyGraph, params: dict | None = None):
         super().__init__(spark, graph.as_generic(), params)
+        self.touched: set[str | None] = set()  # relationship types that have changed, None for nodes
 
     # -- tables -----------------------------------------------------------
     @property
@@ -38,21 +43,38 @@ class Writer(Compiler):
         return self.graph.nodes[0].df
 
     def _with_nodes(self, df: DataFrame, labels: set[str] = frozenset()) -> None:
-        table = NodeTable("nodes", materialise(df, "graph-nodes"), ID, (), LABELS)
-        self.graph = replace(self.graph, nodes=(table,), known_labels=self.graph.known_labels | labels)
+        """``df``, a change on top of the present nodes, in their place."""
+        layers = self.graph.nodes[0].layers + 1
+        if layers > LAYERS:
+            df, layers = materialise(df, "graph-nodes"), 0
+        self.touched.add(None)
+        self.graph = replace(self.graph, nodes=(NodeTable("nodes", df, ID, (), LABELS, layers),), known_labels=self.graph.known_labels | labels)
 
     def _with_edges(self, kind_: str, df: DataFrame) -> None:
-        table = EdgeTable(kind_, materialise(df, "graph-edges"), ID, SRC, DST, "nodes", "nodes")
+        old = next((e for e in self.graph.edges if e.type == kind_), None)
+        layers = (old.layers if old else 0) + 1
+        if layers > LAYERS:
+            df, layers = materialise(df, "graph-edges"), 0
+        if old is None:  # its relationships will all be made between nodes that are there
+            self.graph.known.update({(kind_, "nodes", "nodes", end): True for end in ("src", "dst")})
+        self.touched.add(kind_)
+        table = EdgeTable(kind_, df, ID, SRC, DST, "nodes", "nodes", layers=layers)
         self.graph = replace(self.graph, edges=tuple(e for e in self.graph.edges if e.type != kind_) + (table,))
 
     def _edges(self, kind_: str) -> DataFrame:
         found = [e.df for e in self.graph.edges if e.type == kind_]
         return found[0] if found else self.spark.createDataFrame([], f"{ID} long, {SRC} long, {DST} long")
 
-    def _next_id(self, edges: bool) -> int:
-        frames = [e.df for e in self.graph.edges] if edges else [self.nodes]
-        tops = [f.agg(F.max(ID)).first()[0] for f in frames]
-        return max([-1, *(t for t in tops if t is not None)]) + 1
+    def _take_ids(self, edges: bool, upto: int) -> int:
+        """The first of ids for rows numbered 0 to ``upto``."""
+        if self.graph.next_ids is None:
+            tops = [self.nodes.agg(F.max(ID).alias("top"))] + [e.df.agg(F.max(ID).alias("top")) for e in self.graph.edges]
+            rows = reduce(lambda a, b: a.unionByName(b), [t.withColumn("edges", F.lit(i > 0)) for i, t in enumerate(tops)]).collect()  # one for each table
+            self.graph = replace(self.graph, next_ids=tuple(max([-1, *(r.top for r in rows if r.edges == x and r.top is not None)]) + 1 for x in (False, True)))
+        first = self.graph.next_ids[edges]
+        new = first + upto + 1
+        self.graph = replace(self.graph, next_ids=(self.graph.next_ids[0], new) if edges else (new, self.graph.next_ids[1]))
+        return first
 
     # -- queries ----------------------------------------------------------
     def query(self, q: A.Query, outer: Scope | None = None) -> DataFrame:
@@ -66,6 +88,7 @@ class Writer(Compiler):
                 scope.graph = self.graph
                 continue
             scope.graph = self.graph
+            scope.numbered = (None, -1)  # a reading clause may multiply rows
             out = self.clause(scope, c, used)
             if isinstance(out, DataFrame):
                 self._validate()
@@ -78,6 +101,8 @@ class Writer(Compiler):
         from quiver.plans.commands import check_constraint
 
         for c in self.graph.constraints:
+            if not ({None} if c.entity == "NODE" else set(c.names)) & self.touched:
+                continue
             bad = check_constraint(self.graph, c)
             if bad is not None and not bad.isEmpty():
                 raise ConstraintViolation(f"constraint {c.name} doesn't hold")
@@ -106,11 +131,18 @@ class Writer(Compiler):
             self._refresh(scope)
 
     # -- create -----------------------------------------------------------
-    def _numbered(self, scope: Scope) -> str:
-        """Write the rows down with a number for each."""
-        row = scope.fresh("row")
-        scope.df = materialise(scope.df.withColumn(row, F.monotonically_increasing_id()), "update")
-        return row
+    def _numbered(self, scope: Scope) -> tuple[str, int]:
+        """Write the rows down with a number for each; gives the number's column and its greatest value.
+
+        Rows that have been written down for this query already are taken as they are.
+        """
+        row, top = getattr(scope, "numbered", (None, 0))
+        if row is None or row not in scope.df.columns:
+            row = scope.fresh("row")
+            scope.df, seen = materialise_seen(scope.df.withColumn(row, F.monotonically_increasing_id()), "update", top=F.max(row))
+            top = -1 if seen["top"] is None else seen["top"]
+            scope.numbered = (row, top)
+        return row, top
 
     def _props(self, scope: Scope, props) -> dict[str, str]:
         if props is None:
@@ -145,7 +177,7 @@ class Writer(Compiler):
         return old.unionByName(new, allowMissingColumns=True)
 
     def create(self, scope: Scope, p: A.PathP) -> None:
-        row = self._numbered(scope)
+        row, top = self._numbered(scope)
         ends: list[str] = []
         for n in p.nodes:
             b = scope.vars.get(n.var) if n.var else None
@@ -157,11 +189,11 @@ class Writer(Compiler):
             if any(len(g) > 1 for g in n.labels):
                 raise QueryError("CREATE needs definite labels")
             labels = [x for g in n.labels for x in g]
-            key, first = scope.fresh(n.var or "node"), self._next_id(False)
+            key, first = scope.fresh(n.var or "node"), self._take_ids(False, top)
             scope.df = scope.df.withColumn(key, F.lit(first) + F.col(row))
             props = self._props(scope, n.props)
             new = scope.df.selectExpr(f"`{key}` AS {ID}", f"CAST(array({', '.join(map(quoted, labels))}) AS ARRAY<STRING>) AS {LABELS}", *[f"{s} AS {ident(k)}" for k, s in props.items()])
-            self._with_nodes(self._append(self.nodes, new), set(labels))
+            self._with_nodes(self._append(self.nodes, materialise(new, "graph-nodes")), set(labels))
             scope.graph = self.graph
             ends.append(key)
             if n.var:
@@ -171,12 +203,12 @@ class Writer(Compiler):
                 raise QueryError("CREATE needs one definite relationship type")
             if r.direction == "both":
                 raise QueryError("CREATE needs a direction")
-            key, first = scope.fresh(r.var or "rel"), self._next_id(True)
+            key, first = scope.fresh(r.var or "rel"), self._take_ids(True, top)
             scope.df = scope.df.withColumn(key, F.lit(first) + F.col(row))
             props = self._props(scope, r.props)
             a, b = (ends[i], ends[i + 1]) if r.direction == "out" else (ends[i + 1], ends[i])
             new = scope.df.selectExpr(f"`{key}` AS {ID}", f"`{a}` AS {SRC}", f"`{b}` AS {DST}", *[f"{s} AS {ident(k)}" for k, s in props.items()])
-            self._with_edges(r.types[0], self._append(self._edges(r.types[0]), new))
+            self._with_edges(r.types[0], self._append(self._edges(r.types[0]), materialise(new, "graph-edges")))
             scope.graph = self.graph
             if r.var:
                 self._bind_rel(scope, r.var, key, (r.types[0],), quoted(r.types[0]))
@@ -221,7 +253,7 @@ class Writer(Compiler):
     # -- merge ------------------------------------------------------------
     def merge(self, scope: Scope, c: A.Merge) -> None:
         """Match or create, once for each different set of values; later rows see what earlier ones made."""
-        p, row = c.path, self._numbered(scope)
+        p, row = c.path, self._numbered(scope)[0]
         rels = tuple(replace(r, direction="out") if r.direction == "both" else r for r in p.rels)
         for n in p.nodes:
             if n.props is not None and isinstance(n.props, A.MapLit) and any(isinstance(e, A.Lit) and e.value is None for _, e in n.props.items):
@@ -243,22 +275,23 @@ class Writer(Compiler):
             for k, sql in self._props(scope, x.props).items():
                 keys[scope.fresh(k)] = sql
         maker = scope.clone(missing.selectExpr("*", *[f"{s} AS `{k}`" for k, s in keys.items() if not s == f"`{k}`"]))
-        maker.df = materialise(maker.df.dropDuplicates(list(keys)) if keys else maker.df.limit(1), "merge")
-        if not maker.df.isEmpty():
+        unique = maker.df.dropDuplicates(list(keys)) if keys else maker.df.limit(1)
+        maker.df, seen = materialise_seen(unique.withColumn(mine := scope.fresh("row"), F.monotonically_increasing_id()), "merge", n=F.count(F.lit(1)), top=F.max(mine))
+        if seen["n"]:
+            maker.numbered = (mine, seen["top"])
             self.create(maker, replace(p, rels=rels, var=None))
         scope.graph = matched.graph = self.graph
         again = scope.clone()
         again.graph = self.graph
         Matcher(again, {"*"}).match((p,))
         fresh = again.fresh("old")
-        again.df = materialise(again.df.join(hit.withColumn(fresh, F.lit(True)), row, "left"), "merge")
+        again.df, seen = materialise_seen(again.df.join(hit.withColumn(fresh, F.lit(True)), row, "left").drop(row), "merge", n=F.count(F.lit(1)), old=F.count(fresh))
         scope.df, scope.vars = again.df, again.vars
-        for items, test in ((c.on_create, F.col(fresh).isNull()), (c.on_match, F.col(fresh).isNotNull())):
-            if items:
+        for items, test, many in ((c.on_create, F.col(fresh).isNull(), seen["n"] - seen["old"]), (c.on_match, F.col(fresh).isNotNull(), seen["old"])):
+            if items and many:
                 part = scope.clone(scope.df.filter(test))
-                if not part.df.isEmpty():
-                    self.set(part, items, False)
-                    scope.graph = self.graph
+                self.set(part, items, False)
+                scope.graph = self.graph
         if c.on_create or c.on_match:
             self._refresh(scope)
 
@@ -276,7 +309,7 @@ class Writer(Compiler):
                 b = scope.vars[i.var]
             if not isinstance(b, (NodeB, RelB)):
                 raise QueryError(f"{i.var} isn't a node or relationship")
-            row = self._numbered(scope)
+            row = self._numbered(scope)[0]
             if i.kind == "labels":
                 self._labels(scope, b, i.labels, removing)
             elif isinstance(b, NodeB):
@@ -293,9 +326,13 @@ class Writer(Compiler):
         hit = scope.df.selectExpr(f"`{b.id}` AS _hit").filter("_hit IS NOT NULL").distinct()
         list_ = F.array(*map(F.lit, labels))
         new = F.array_except(LABELS, list_) if removing else F.array_union(LABELS, list_)
-        df = self.nodes.join(hit, self.nodes[ID] == hit["_hit"], "left")
-        df = df.withColumn(LABELS, F.when(F.col("_hit").isNotNull(), new).otherwise(F.col(LABELS))).drop("_hit")
-        self._with_nodes(df, set() if removing else set(labels))
+        changed = materialise(self.nodes.join(hit, F.col(ID) == F.col("_hit"), "left_semi").withColumn(LABELS, new), "graph-nodes")
+        self._with_nodes(self._replaced(self.nodes, changed), set() if removing else set(labels))
+
+    def _replaced(self, old: DataFrame, changed: DataFrame) -> DataFrame:
+        """``old`` with the rows of ``changed`` in place of those of equal id."""
+        ids = changed.select(F.col(ID).alias("_hit"))
+        return old.join(ids, F.col(ID) == F.col("_hit"), "left_anti").unionByName(changed, allowMissingColumns=True)
 
     def _values(self, scope: Scope, b, i: A.SetItem, row: str, of_type: str | None = None) -> None:
         """New values by id; of several rows for one id the last one's hold."""
@@ -316,9 +353,7 @@ class Writer(Compiler):
         if of_type:
             rows = rows.filter(F.col("_of") == of_type)
         last = rows.groupBy("_hit").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), "_row").alias("_u"))
-        df = old.join(last, old[ID] == last["_hit"], "left")
-        out = []
-        hit = F.col("_hit").isNotNull()
+        out, casts = [], {}
         for k, x in values.items():
             new = F.col(f"_u.`v_{k}`")
             if k in old.columns:
@@ -333,12 +368,15 @@ class Writer(Compiler):
                         t = u
                     else:
                         raise QueryError(f"property {k} is {t.simpleString()} and can't become {u.simpleString()}")
-                out.append(F.when(hit, new).otherwise(F.col(f"`{k}`").cast(t)).alias(k))
+                out.append(new.alias(k))
+                if t != old.schema[k].dataType:
+                    casts[k] = F.col(f"`{k}`").cast(t)
             elif kind(x.type) != "null":
-                out.append(F.when(hit, new).alias(k))
+                out.append(new.alias(k))
         kept = [c for c in old.columns if c not in values]
-        rest = [F.when(hit & F.lit(clear and c not in fixed), F.lit(None)).otherwise(old[c]).alias(c) for c in kept]
-        df = df.select(*rest, *out)
+        rest = [F.lit(None).cast(old.schema[c].dataType).alias(c) if clear and c not in fixed else F.col(f"`{c}`") for c in kept]
+        changed = materialise(old.join(last, F.col(ID) == F.col("_hit")).select(*rest, *out), "graph-changed")
+        df = self._replaced(old.withColumns(casts) if casts else old, changed)
         if of_type is None:
             self._with_nodes(df)
         else:
@@ -372,22 +410,23 @@ class Writer(Compiler):
         union = lambda fs: materialise(reduce(lambda a, b: a.unionByName(b), fs).filter("_gone IS NOT NULL").distinct(), "delete")
         gone_e = union(edges) if edges else None
         gone_n = union(nodes) if nodes else None
+        held = []
         for t in self.graph.edges:
             df = t.df
             if gone_e is not None:
                 hit = gone_e.filter(F.col("_gone_type") == t.type)
-                df = df.join(hit, df[ID] == hit["_gone"], "left_anti")
+                df = df.join(hit, F.col(ID) == F.col("_gone"), "left_anti")
             if gone_n is not None:
-                touching = gone_n
-                held = df.join(touching, (df[SRC] == touching["_gone"]), "left_anti")
-                held = held.join(touching, (held[DST] == touching["_gone"]), "left_anti")
-                if not c.detach and held.count() < df.count():
-                    raise QueryError("a node that still has relationships can't be deleted without DETACH")
-                df = held
+                for end in (SRC, DST):
+                    held.append(df.join(gone_n, F.col(end) == F.col("_gone"), "left_semi").select(F.lit(1).alias("held")))
+                    if c.detach:
+                        df = df.join(gone_n, F.col(end) == F.col("_gone"), "left_anti")
             if df is not t.df:
                 self._with_edges(t.type, df)
+        if held and not c.detach and not reduce(lambda a, b: a.unionByName(b), held).isEmpty():
+            raise QueryError("a node that still has relationships can't be deleted without DETACH")
         if gone_n is not None:
-            self._with_nodes(self.nodes.join(gone_n, self.nodes[ID] == gone_n["_gone"], "left_anti"))
+            self._with_nodes(self.nodes.join(gone_n, F.col(ID) == F.col("_gone"), "left_anti"))
         scope.graph = self.graph
 
 

@@ -11,7 +11,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 _own: dict[str, str] = {}
 _made: list[str] = []
@@ -57,6 +57,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise_seen(df: DataFrame, name: str, **seen) -> tuple[DataFrame, dict]:
+    """The same, with aggregates over the rows that are taken as they are written."""
+    watch = Observation()
+    out = materialise(df.observe(watch, *[c.alias(k) for k, c in seen.items()]), name)
+    return out, watch.get
+
+
 def hadoop(spark: SparkSession, path: str):
     """(file context, path) of Hadoop for ``path``."""
     jvm = spark._jvm
