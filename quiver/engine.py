@@ -7,8 +7,9 @@ import time
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Observation, Row, functions as F
+from pyspark.sql import DataFrame, Row
 
+from quiver.graph.api import GraphApi
 from quiver.graph.property_graph import PropertyGraph
 from quiver.lang import ast as A
 from quiver.lang.parser import parse
@@ -98,18 +99,47 @@ class Engine:
         return head + "\n" + _plan(self.execute(text, params))
 
     def profile(self, text: str, params: dict | None = None) -> dict:
-        """Rows, seconds and the plan as it ran, with what adaptive execution made of it; the rows themselves are thrown away."""
-        seen = Observation()
+        """Rows, seconds and the plan as it ran, with each operator's rows and milliseconds; the rows themselves are thrown away.
+
+        operators: (depth, name, rows, milliseconds) from the root down, what
+        an operator doesn't measure being None; times add up over all tasks.
+        """
         began = time.perf_counter()
-        df = self.execute(text, params)
-        watched = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-        watched.write.format("noop").mode("overwrite").save()
-        return {"rows": seen.get["rows"], "seconds": time.perf_counter() - began, "plan": _plan(watched)}
+        run = self.execute(text, params)._jdf.queryExecution()
+        rows = run.toRdd().count()
+        plan = self.spark._jvm.PythonSQLUtils.explainString(run, "formatted")
+        return {"rows": rows, "seconds": time.perf_counter() - began, "plan": plan, "operators": _measured(run.executedPlan())}
+
+    @property
+    def api(self) -> GraphApi:
+        """Single nodes and relationships by id."""
+        return GraphApi(self)
 
     def transaction(self, read_only: bool = False) -> Transaction:
         return Transaction(self, read_only)
 
 
+def _measured(node, depth: int = 0) -> list[tuple[int, str, int | None, int | None]]:
+    """An operator of Spark's plan and those below it, adaptive plans and finished stages being looked into."""
+    name = node.getClass().getSimpleName()
+    inner = {"AdaptiveSparkPlanExec": "executedPlan", "ShuffleQueryStageExec": "plan", "BroadcastQueryStageExec": "plan", "ResultQueryStageExec": "plan", "TableCacheQueryStageExec": "plan"}.get(name)
+    if inner:
+        return _measured(getattr(node, inner)(), depth)
+    metrics, found = node.metrics(), {}
+    keys = metrics.keysIterator()
+    while keys.hasNext():
+        key = keys.next()
+        metric = metrics.apply(key)
+        found[key] = metric.value() / (1e6 if metric.metricType() == "nsTiming" else 1), metric.metricType()
+    rows = found.get("numOutputRows", found.get("number of output rows", (None, "")))[0]
+    times = [v for v, kind in found.values() if kind in ("timing", "nsTiming")]
+    out = [(depth, node.nodeName().strip(), None if rows is None else int(rows), round(sum(times)) if times else None)]
+    children = node.children()
+    for i in range(children.size()):
+        out += _measured(children.apply(i), depth + 1)
+    return out
+
+
 def _plan(df: DataFrame) -> str:
     return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 

@@ -127,6 +127,8 @@ class PropertyGraph:
     constraints: tuple[ConstraintDef, ...] = ()
     #: what is known of (edge type, source, target, end): whether all its keys are rows of the vertex table; shared by versions
     known: dict = field(default_factory=dict, compare=False, repr=False)
+    #: inverted indexes by name: (the tables they were built of, folder); one is used as long as these are the graph's tables
+    built: dict = field(default_factory=dict, compare=False, repr=False)
     #: the next node id and relationship id, once they have been looked up
     next_ids: tuple[int, int] | None = None
 

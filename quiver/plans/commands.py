@@ -15,6 +15,7 @@ from quiver.plans.compiler import Compiler, where
 from quiver.plans.expressions import QueryError, Scope, ValB, node_struct
 from quiver.plans.patterns import Hop, scan_edges, scan_nodes
 from quiver.plans.values import kind, type_name
+from quiver.workdir import scratch_path
 
 
 def constant(e, params: dict):
@@ -44,7 +45,11 @@ def run_command(graph: PropertyGraph, q, params: dict) -> tuple[DataFrame, Prope
         options = constant(info["options"], params) if info["options"] is not None else {}
         if info["kind"] == "VECTOR":
             _vector_options(options)
-        return done, replace(graph, indexes=(*graph.indexes, IndexDef(name, info["kind"], info["entity"], tuple(info["names"]), tuple(info["properties"]), options)))
+        index = IndexDef(name, info["kind"], info["entity"], tuple(info["names"]), tuple(info["properties"]), options)
+        graph = replace(graph, indexes=(*graph.indexes, index))
+        if info["kind"] == "FULLTEXT":
+            build_fulltext(graph, index)
+        return done, graph
     if what == "create_constraint":
         c = ConstraintDef(info["name"], info["kind"], info["entity"], tuple(info["names"]), tuple(info["properties"]), tuple(info.get("types", ())))
         if any(x.name == c.name for x in graph.constraints):
@@ -126,11 +131,21 @@ def check_constraint(graph: PropertyGraph, c: ConstraintDef) -> DataFrame | None
         if c.kind == "TYPE" and have:
             t = df.schema[have[0]].dataType
             fits = any(_fits(x, t) for x in c.types)
+            sizes = [_dimension(x) for x in c.types if _fits(x, t)]
             if not fits and kind(t) != "null":
                 bad.append(df.filter(F.col(f"`{have[0]}`").isNotNull()).select(F.lit("type").alias("problem")))
+            elif sizes and None not in sizes:  # vectors only: of one of the dimensions, and of numbers throughout
+                v = F.col(f"`{have[0]}`")
+                bad.append(df.filter(v.isNotNull() & (~F.size(v).isin(sizes) | F.exists(v, lambda x: x.isNull()))).select(F.lit("dimension").alias("problem")))
     return reduce(lambda a, b: a.unionByName(b), bad).limit(1) if bad else None
 
 
+def _dimension(wanted: str) -> int | None:
+    """The number of coordinates that a vector type asks for, None for any other type."""
+    found = re.match(r"VECTOR\b.*\((\d+)\)", wanted)
+    return int(found[1]) if found else None
+
+
 def _fits(wanted: str, t) -> bool:
     actual = type_name(t)
     wanted = wanted.replace(" NOT NULL", "").replace("LOCAL DATETIME", "LOCAL_DATETIME").replace("ZONED DATETIME", "DATETIME")
@@ -198,20 +213,57 @@ def vector_query(graph: PropertyGraph, entity: str, name: str, k: int, vector: l
     return top if entity == "NODE" else top.withColumnRenamed("node", "relationship")
 
 
+def _covered(graph: PropertyGraph, index: IndexDef) -> list[DataFrame]:
+    """The tables that an index is about, as they are."""
+    return [t.df for t in graph.nodes if t.label_column or set(index.names) & set(t.labels)] if index.entity == "NODE" else [e.df for e in graph.edges if e.type in index.names]
+
+
+def _text(index: IndexDef, props: dict[str, str]):
+    return F.lower(F.expr("concat_ws(' ', " + ", ".join(f"`{props[p]}`" for p in index.properties if p in props) + ")"))
+
+
+def build_fulltext(graph: PropertyGraph, index: IndexDef) -> None:
+    """Write an inverted index: how often each word occurs in each entity, in the order of the words.
+
+    Equal words lie together, so a query reads the few row groups that hold its
+    words; a word that many entities have goes over as many files as it needs.
+    """
+    tables = _covered(graph, index)
+    if not tables:
+        return
+    df, props, key, _ = _entities(graph, index)
+    words = df.select(F.col(f"`{key}`").alias("_key"), F.explode(F.split(_text(index, props), r"[^\p{L}\p{N}]+")).alias("word")).filter("word <> ''")
+    counted = words.groupBy("word", "_key").agg(F.count(F.lit(1)).alias("n"))
+    path = scratch_path(graph.spark, f"fulltext-{index.name}")
+    counted.repartitionByRange("word", "_key").sortWithinPartitions("word", "_key").write.option("parquet.block.size", 8 << 20).parquet(path)
+    graph.built[index.name] = (tables, path)
+
+
 def fulltext_query(graph: PropertyGraph, entity: str, name: str, query: str) -> DataFrame:
-    """Entities whose indexed texts have all the words; score: how often they occur. Counted within each row, so nothing is shuffled before the sort."""
+    """Entities whose indexed texts have all the words; score: how often they occur.
+
+    With an inverted index of the present tables only its rows for these words
+    are read; without one the words are counted within each text, and nothing
+    is shuffled before the sort.
+    """
     index = _index(graph, name, "FULLTEXT", entity)
     df, props, key, struct = _entities(graph, index)
+    called = "node" if entity == "NODE" else "relationship"
     terms = list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
     if not terms:
-        return df.limit(0).selectExpr(f"{struct} AS {'node' if entity == 'NODE' else 'relationship'}", "0.0D AS score")
+        return df.limit(0).selectExpr(f"{struct} AS {called}", "0.0D AS score")
+    tables, path = graph.built.get(name, ((), None))
+    now = _covered(graph, index)
+    if len(now) == 1 and len(tables) == 1 and tables[0] is now[0]:  # keys of several tables may be equal
+        hits = graph.spark.read.parquet(path).filter(F.col("word").isin(terms)).groupBy(F.col("_key").alias("_hit"))
+        hits = hits.agg(F.count(F.lit(1)).alias("_words"), F.sum("n").cast("double").alias("score")).filter(F.col("_words") == len(terms))
+        scored = df.join(hits, F.col(f"`{key}`") == F.col("_hit")).select(F.expr(struct).alias(called), F.col(f"`{key}`").alias("_key"), "score")
+        return scored.orderBy(F.desc("score"), "_key").drop("_key")
     # a cheap test for each word first; only rows that have all of them are searched word by word
-    df = df.withColumn("_text", F.lower(F.expr("concat_ws(' ', " + ", ".join(f"`{props[p]}`" for p in index.properties if p in props) + ")")))
+    df = df.withColumn("_text", _text(index, props))
     df = df.filter(reduce(lambda a, b: a & b, [F.contains("_text", F.lit(t)) for t in terms]))
     edge = r"[\p{L}\p{N}]"
     counts = [F.regexp_count("_text", F.lit(f"(?<!{edge}){t}(?!{edge})")) for t in terms]
     df = df.filter(reduce(lambda a, b: a & b, [c > 0 for c in counts]))
-    scored = df.select(F.expr(struct).alias("node" if entity == "NODE" else "relationship"), F.col(f"`{key}`").alias("_key"), reduce(lambda a, b: a + b, counts).cast("double").alias("score"))
+    scored = df.select(F.expr(struct).alias(called), F.col(f"`{key}`").alias("_key"), reduce(lambda a, b: a + b, counts).cast("double").alias("score"))
     return scored.orderBy(F.desc("score"), "_key").drop("_key")
-
-

@@ -514,7 +514,9 @@ class Matcher:
             m._props(r.props, rel)
             df = inner.df
         fields = {p: t.simpleString() for p, t in _fields([e for e, _ in h.options]).items()}
-        unique = f"concat({rel.type}, ':', `{rel.id}`)" if len(rel.types) > 1 else f"CAST(`{rel.id}` AS STRING)"
+        # a relationship's key in 64 bits: its id, and behind it the number of its type
+        bits, which = (len(rel.types) - 1).bit_length(), " ".join(f"WHEN {quoted(t)} THEN {i}L" for i, t in enumerate(rel.types))
+        unique = f"shiftleft(CAST(`{rel.id}` AS BIGINT), {bits}) | CASE {rel.type} {which} END" if bits else f"CAST(`{rel.id}` AS BIGINT)"
         step, ends = self.s.fresh("step"), h.ends()
         cols = [f"`{a}` AS `{step}_a`", f"`{b}` AS `{step}_b`", f"{unique} AS `{step}_u`"]
         if rich:
@@ -539,7 +541,7 @@ class Matcher:
         rich = p.var is not None or r.var is not None and (r.var in self.used or "*" in self.used)
         c = s.fresh("walk")
         base = s.df
-        start = [f"CAST(`{left.id}` AS BIGINT) AS `{c}_at`", f"{f'`{left.tab}`' if left.tab else quoted(left.tables[0])} AS `{c}_tab`", f"CAST(array() AS ARRAY<STRING>) AS `{c}_seen`"]
+        start = [f"CAST(`{left.id}` AS BIGINT) AS `{c}_at`", f"{f'`{left.tab}`' if left.tab else quoted(left.tables[0])} AS `{c}_tab`", f"CAST(array() AS ARRAY<BIGINT>) AS `{c}_seen`"]
         front = base.selectExpr("*", *start)
         levels = []
         step_df, step, one_table = self._step(h, r, rich) if h.options else (None, None, True)
@@ -625,7 +627,7 @@ class Matcher:
         front = materialise(starts.selectExpr("*", f"`{c}_s` AS `{c}_at`", f"`{c}_st` AS `{c}_tab`", *empty), "bfs")
         key = [f"{c}_s", f"{c}_st", f"{c}_at", f"{c}_tab"]
         carried = [f"{c}_rels", *([f"{c}_nodes"] if hydrated else [])]
-        seen, found = front.select(*key), [front] if low == 0 else []
+        seen, found = [front.select(*key)], [front] if low == 0 else []
         for _ in range(high):
             on = F.expr(f"`{c}_at` = `{step}_a`" + ("" if one_table else f" AND `{c}_tab` = `{step}_ta`"))
             nxt = front.join(step_df, on)
@@ -634,7 +636,7 @@ class Matcher:
                 nxt = nxt.join(nodes, F.expr(f"`{step}_b` = `{step}_nk` AND `{step}_tb` = `{step}_nt`"))
                 moved.append(f"array_append(`{c}_nodes`, `{step}_n`) AS `{c}_nodes`")
             nxt = nxt.selectExpr(f"`{c}_s`", f"`{c}_st`", f"CAST(`{step}_b` AS BIGINT) AS `{c}_at`", f"`{step}_tb` AS `{c}_tab`", *moved)
-            nxt = nxt.join(seen, key, "left_anti")
+            nxt = nxt.join(reduce(lambda x, y: x.unionByName(y), seen), key, "left_anti")
             if p.shortest == "one":
                 least = F.min(F.struct(F.transform(f"{c}_rels", lambda x: x["_id"]).alias("k"), *[F.col(x) for x in carried])).alias("m")
                 nxt = nxt.groupBy(*key).agg(least).selectExpr(*[f"`{k}`" for k in key], *[f"m.`{x}` AS `{x}`" for x in carried])
@@ -642,7 +644,8 @@ class Matcher:
             if front.isEmpty():
                 break
             found.append(front)
-            seen = seen.unionByName(front.select(*key).distinct())
+            # where hops go both ways, a node's neighbours are at most one level before it
+            seen = [*(seen[-1:] if r.direction == "both" else seen), front.select(*key).distinct()]
         rows = reduce(lambda x, y: x.unionByName(y), found) if found else front.limit(0)
         rows = rows.withColumnsRenamed({f"{c}_s": f"{c}_rs", f"{c}_st": f"{c}_rst"})
         s.df = s.df.join(rows, F.expr(f"CAST(`{left.id}` AS BIGINT) = `{c}_rs` AND {tab} = `{c}_rst`"))

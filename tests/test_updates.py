@@ -1,9 +1,11 @@
+from dataclasses import replace
+
 import pytest
 
 from graphs import social
 from quiver.engine import Engine, TransactionConflict
 from quiver.graph.mapping import NodeMapping, RelationshipMapping, add_nodes, add_relationships
-from quiver.graph.property_graph import PropertyGraph
+from quiver.graph.property_graph import DamagedGraph, NodeTable, PropertyGraph
 from quiver.graph.results import encode
 from quiver.plans.expressions import QueryError
 from quiver.plans.mutations import ConstraintViolation
@@ -167,3 +169,52 @@ def test_cursor_profile_formats_timeout(s):
     assert s.collect("RETURN 1 AS a", timeout=60)[0].a == 1
     with pytest.raises(TimeoutError):
         s.collect("UNWIND range(1, 3000) AS a UNWIND range(1, 3000) AS b UNWIND range(1, 3000) AS c RETURN sum(a * b + c)", timeout=1.5)
+
+
+def test_single_nodes_and_relationships(spark):
+    e = Engine(PropertyGraph.empty(spark))
+    a, b = e.api.create_node(["P", "Q"], {"name": "a", "age": 3}), e.api.create_node(["P"], {"name": "b"})
+    r = e.api.create_relationship("KNOWS", a, b, {"w": 1})
+    assert e.api.node(a).name == "a" and sorted(e.api.node(a)._labels) == ["P", "Q"] and e.api.node(99) is None
+    e.api.set_node(a, {"age": 4})
+    e.api.set_relationship("KNOWS", r, {"w": 5})
+    e.api.add_labels(b, "R")
+    e.api.remove_labels(a, "Q")
+    assert (e.api.node(a).age, e.api.node(a).name, e.api.node(a)._labels) == (4, "a", ["P"]) and e.api.relationship("KNOWS", r).w == 5
+    assert e.api.create_relationship("KNOWS", a, 77) is None and e.api.relationship("LIKES", 0) is None
+    with pytest.raises(QueryError):
+        e.api.delete_node(a)
+    e.api.delete_relationship("KNOWS", r)
+    e.api.delete_node(a)
+    assert e.api.node(a) is None and e.graph.counts() == {"nodes": 1, "relationships": 0}
+
+
+def test_operators_are_measured(spark):
+    e = Engine(PropertyGraph.of_rows(spark, [{"id": i, "labels": ["N"], "v": i % 3} for i in range(30)], []).frozen())
+    p = e.profile("MATCH (n:N) RETURN n.v AS v, count(*) AS c")
+    names = [(name, rows) for _, name, rows, _ in p["operators"]]
+    assert p["rows"] == 3 and any(n.startswith("Scan parquet") and r == 30 for n, r in names) and any("HashAggregate" in n and r == 3 for n, r in names)
+
+
+def test_vector_dimension_constraint(spark):
+    good = PropertyGraph.of_rows(spark, [{"id": 1, "labels": ["D"], "e": [1.0, 2.0]}, {"id": 2, "labels": ["D"], "e": [1.0, 3.0]}], [])
+    text = "CREATE CONSTRAINT v FOR (d:D) REQUIRE d.e IS :: VECTOR<FLOAT>({})"
+    Engine(good).execute(text.format(2))
+    with pytest.raises(QueryError):
+        Engine(good).execute(text.format(3))
+
+
+def test_a_failed_save_leaves_the_one_before(spark, tmp_path):
+    path = f"file://{tmp_path}/g"
+    g = PropertyGraph.of_rows(spark, [{"id": 1, "labels": ["A"], "x": 1}], [])
+    assert g.save(path) == 1
+    broken = replace(g, nodes=(*g.nodes, NodeTable("bad", spark.range(1).selectExpr("id", "raise_error('lost') AS x"), "id", ("B",))))
+    with pytest.raises(Exception):
+        broken.save(path)
+    assert PropertyGraph.load(spark, path, verify=True).counts()["nodes"] == 1
+    assert g.save(path) == 2
+    folder = PropertyGraph.load(spark, path).nodes[0].df.inputFiles()[0].rpartition("/")[0]
+    spark.createDataFrame([(7, ["A"], 8)], "_id long, _labels array<string>, x long").write.mode("overwrite").parquet(folder)
+    with pytest.raises(DamagedGraph):
+        PropertyGraph.load(spark, path, verify=True)
+    assert PropertyGraph.load(spark, path, 1, verify=True).counts()["nodes"] == 1
