@@ -126,7 +126,41 @@ _SEGMENTS = """
   placed AS (SELECT r.*, s.base_lsn + r.rec_no AS at_lsn FROM wal_record r JOIN seg s USING (shard_id, segment_id)
              WHERE s.last_good_offset IS NULL OR r.byte_offset < s.last_good_offset)"""
 
+def _valid(x: str, t: str) -> str:
+    """SQL: text ``x``, which isn't empty, is a value of the scalar type ``t``."""
+    date = "[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    clock = "([01][0-9]|2[0-3]):[0-5][0-9]"
+    number = lambda key: f"coalesce(json_type({x}, '$.{key}') IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE'), false)"
+    # DuckDB takes trailing commas, NaN and comments for JSON; outside of its strings a text mustn't have them
+    plain = f"""regexp_replace({x}, '"([\\\\].|[^"\\\\])*"', '""', 'g')"""
+    strict = f"(json_valid({x}) AND NOT regexp_matches({plain}, '(?i),[[:space:]]*[]}}]|nan|inf|/'))"
+    return f"""CASE WHEN {t} IN ('string', 'text', ':label', ':type') THEN true
+    WHEN {t} IN ('int', 'integer', 'long', ':id', ':start_id', ':end_id') THEN regexp_full_match({x}, '[+-]?[0-9]+') AND TRY_CAST(regexp_replace(regexp_replace({x}, '^[+]', ''), '^(-?)0+([0-9])', '\\1\\2') AS BIGINT) IS NOT NULL
+    WHEN {t} IN ('float', 'double') THEN regexp_full_match({x}, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?')
+    WHEN {t} IN ('bool', 'boolean') THEN lower({x}) IN ('true', 't', '1', 'yes', 'false', 'f', '0', 'no')
+    WHEN {t} = 'date' THEN regexp_full_match({x}, '{date}') AND NOT starts_with({x}, '0000') AND TRY_CAST({x} AS DATE) IS NOT NULL
+    WHEN {t} = 'datetime' THEN regexp_full_match({x}, '{date}T{clock}:[0-5][0-9](Z|[+-]{clock})') AND NOT starts_with({x}, '0000') AND TRY_CAST(left({x}, 10) AS DATE) IS NOT NULL
+    WHEN {t} = 'duration' THEN regexp_full_match({x}, 'P([0-9]+Y)?([0-9]+M)?([0-9]+D)?(T([0-9]+H)?([0-9]+M)?([0-9]+S)?)?') AND NOT regexp_matches({x}, '[PT]$')
+    WHEN {t} = 'point' THEN CASE WHEN NOT {strict} THEN false WHEN json_type({x}) <> 'OBJECT' THEN false ELSE {number('x')} AND {number('y')} END
+    WHEN {t} = 'json' THEN {strict} ELSE true END"""
+
+
+_CELL = '(?:"(?:[^"]|"")*"|[^",]*)'
+
 SQL = {
+    "p2_found": f"""
+WITH lay AS (SELECT layout_id, list(lower(coalesce(ty, 'string')) ORDER BY col_no) AS tys FROM (SELECT DISTINCT layout_id, col_no, ty FROM csv_header) GROUP BY 1),
+  r AS (SELECT DISTINCT line_id, layout_id, coalesce(raw, '') AS raw FROM csv_line),
+  c AS (SELECT line_id, layout_id, raw, coalesce(tys, []) AS tys, regexp_full_match(raw, '(?s){_CELL}(?:,{_CELL})*') AS fine,
+          list_transform(regexp_extract_all(',' || raw, '(?s),({_CELL})', 1), lambda v: CASE WHEN starts_with(v, '"') THEN replace(substr(v, 2, length(v) - 2), '""', '"') ELSE v END) AS cells
+        FROM r LEFT JOIN lay USING (layout_id)),
+  e AS (SELECT line_id, layout_id, raw, cells[i] AS x, tys[i] AS t FROM (SELECT *, unnest(range(1, len(cells) + 1)) AS i FROM c WHERE fine AND len(cells) = len(tys))),
+  bad AS (SELECT DISTINCT line_id, layout_id, raw FROM e WHERE x <> '' AND NOT CASE
+            WHEN ends_with(t, '[]') AND t IN ('string[]', 'text[]') THEN true
+            WHEN ends_with(t, '[]') THEN len(list_filter(string_split(x, ';'), lambda y: y = '' OR NOT {_valid("y", "left(t, length(t) - 2)")})) = 0
+            ELSE {_valid("x", "t")} END)
+SELECT DISTINCT line_id, CASE WHEN NOT fine THEN 'quoting' WHEN len(cells) <> len(tys) THEN 'columns' ELSE 'value' END AS reason
+FROM c LEFT JOIN bad USING (line_id, layout_id, raw) WHERE NOT fine OR len(cells) <> len(tys) OR bad.line_id IS NOT NULL""",
     "p1_found": f"""
 WITH {_SEGMENTS},
   rec AS (SELECT shard_id, at_lsn AS lsn, min(landed_at) AS earliest FROM placed GROUP BY 1, 2),
