@@ -452,10 +452,40 @@ class Scope:
         v = self.compile(e)
         return v if v.kind == "list" else None
 
+    def _asks_graph(self, *parts) -> bool:
+        """Whether parts of a list expression need the graph for each element."""
+        return not self.locals and any(isinstance(x, (A.Exists, A.PatternComp)) for x in walk(parts))
+
+    def _spread(self, var: str, v: Val, condition: A.Expr | None, result: A.Expr | None) -> str:
+        """A column with the list of ``result`` for the elements of ``v`` that meet ``condition``, in order.
+
+        The elements become rows, patterns are matched from them as from any
+        rows, and they come together again by the number of their row.
+        """
+        from pyspark.sql import functions as F
+
+        from quiver.plans.compiler import where
+        from quiver.workdir import materialise
+
+        row, at, item, out = (self.fresh(n) for n in ("row", "at", var, "list"))
+        self.df = materialise(self.df.withColumn(row, F.monotonically_increasing_id()), "elements")
+        inner = self.clone(self.df.selectExpr("*", f"posexplode({v.sql}) AS (`{at}`, `{item}`)"))
+        inner.vars[var] = ValB(item)
+        where(inner, condition)
+        value = inner.sql(result) if result is not None else f"`{item}`"
+        rows = inner.df.selectExpr(f"`{row}` AS `{out}_row`", f"named_struct('at', `{at}`, 'v', {value}) AS `{out}_v`")
+        kind_ = rows.schema[f"{out}_v"].dataType.fields[1].dataType.simpleString()
+        lists = rows.groupBy(f"{out}_row").agg(F.expr(f"transform(array_sort(collect_list(`{out}_v`), (l, r) -> l.at - r.at), s -> s.v)").alias(out))
+        joined = self.df.join(lists, F.col(row) == F.col(f"{out}_row"), "left").drop(f"{out}_row", row)
+        self.df = joined.withColumn(out, F.expr(f"if({v.sql} IS NULL, NULL, coalesce(`{out}`, CAST(array() AS ARRAY<{kind_}>)))"))
+        return f"`{out}`"
+
     def _listcomp(self, e: A.ListComp) -> Val:
         v = self._source(e.source)
         if v is None:
             return self.val("NULL")
+        if self._asks_graph(e.where, e.result):
+            return self.val(self._spread(e.var, v, e.where, e.result))
 
         def build(x):
             out = v.sql
@@ -471,9 +501,12 @@ class Scope:
         v = self._source(e.source)
         if v is None:
             return self.val("CAST(NULL AS BOOLEAN)", T.BooleanType())
+        asked = self._asks_graph(e.where)
+        if asked:
+            v = self.val(self._spread(e.var, v, None, e.where))
 
         def build(x):
-            test = f"{x} -> coalesce({self.boolean(self.compile(e.where))}, false)"
+            test = f"{x} -> coalesce({x if asked else self.boolean(self.compile(e.where))}, false)"
             return {
                 "any": f"exists({v.sql}, {test})", "all": f"forall({v.sql}, {test})", "none": f"(NOT exists({v.sql}, {test}))",
                 "single": f"(size(filter({v.sql}, {test})) = 1)",

@@ -143,6 +143,14 @@ TEXTS: dict[str, tuple[str, str]] = {
         "MATCH (r:Region) RETURN r.r_name AS r, string.join(list.sort([(r)<-[:IN_REGION]-(n) WHERE n.n_nationkey > 3 | n.n_name]), ',') AS nations",
         "SELECT r_name AS r, coalesce((SELECT string_agg(n_name, ',' ORDER BY n_name) FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey > 3), '') AS nations FROM region",
     ),
+    "exists_in_list": (
+        "MATCH (n:Nation)-[:IN_REGION]->(r) WITH r, collect(n) AS ns RETURN r.r_name AS r, size([n IN ns WHERE EXISTS { (n)<-[:IN_NATION]-(s:Supplier) WHERE s.s_acctbal > 5000 }]) AS rich, any(n IN ns WHERE EXISTS { (n)<-[:IN_NATION]-(:Customer) }) AS sold",
+        "SELECT r_name AS r, count(*) FILTER (EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 5000))::INT AS rich, bool_or(EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey)) AS sold FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1",
+    ),
+    "comprehension_in_list": (
+        "MATCH (n:Nation)-[:IN_REGION]->(r) WITH r, n ORDER BY n.n_nationkey WITH r, collect(n) AS ns RETURN r.r_name AS r, string.join([n IN ns | toString(size([(n)<-[:IN_NATION]-(s:Supplier) | s.s_suppkey]))], ',') AS suppliers",
+        "SELECT r_name AS r, string_agg(k, ',' ORDER BY n_nationkey) AS suppliers FROM (SELECT r_name, n_nationkey, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey)::VARCHAR AS k FROM nation JOIN region ON r_regionkey = n_regionkey) GROUP BY 1",
+    ),
     "path_build": (
         "MATCH p = (s:Supplier)-[:IN_NATION]->(n)-[:IN_REGION]->(r) RETURN path.first(p).s_name AS s, path.last(p).r_name AS r, path.length(p) AS len, string.join([x IN path.edges(p) | type(x)], '>') AS types",
         "SELECT s_name AS s, r_name AS r, CAST(2 AS BIGINT) AS len, 'IN_NATION>IN_REGION' AS types FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey",
