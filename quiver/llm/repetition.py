@@ -183,7 +183,7 @@ def repeated_documents(
     """
     source = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     part = min(1 << 40, (rows << 40) // max(1, source.count()))
-    picked = source.filter(F.pmod(F.xxhash64("_key", "_text"), F.lit(1 << 40)) < part).limit(4 * rows)  # copies of one text may be many
+    picked = source.filter(F.pmod(F.xxhash64("_key", "_text"), F.lit(1 << 40)) < part)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +191,8 @@ def repeated_documents(
                 exact, cheap = statistics(some.column("_text"), window), cheap_statistics(some.column("_text"))[0]
                 yield pa.RecordBatch.from_arrays([*(pa.array(cheap[c]) for c in CHEAP), pa.array(exact["share"]), pa.array(exact["words"])], names=[*CHEAP, "share", "words"])
 
-    sample = picked.mapInArrow(label, ", ".join(f"{c} double" for c in (*CHEAP, "share", "words"))).toPandas()
+    labelled = picked.mapInArrow(label, ", ".join(f"{c} double" for c in (*CHEAP, "share", "words")))
+    sample = labelled.limit(4 * rows).toPandas()  # copies of one row may be many
     x = sample[list(CHEAP)].to_numpy(np.float64).reshape(-1, len(CHEAP))
     case = ((sample["share"] >= share) & (sample["words"] >= words)).to_numpy(bool)
     model, floor = None, -np.inf
