@@ -226,7 +226,8 @@ def _crowds(usable: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     marked = materialise(_directions(usable), "directions")
     close = marked.join(marked.groupBy(*at, "b").agg(F.min("a").alias("near")), [*at, "b"])
     large = close.groupBy(*at, "near").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k + 1).select(*at, "near")
-    found = close.join(large, [*at, "near"], "left_semi").select(*at, "vec_id", "content", "near").distinct()
+    # written down, as its size then decides whether the vectors have to be shuffled to meet it
+    found = materialise(close.join(large, [*at, "near"], "left_semi").select(*at, "vec_id", "content", "near").distinct(), "crowd-rows")
     held = materialise(usable.join(found, [*at, "vec_id", "content"]).distinct(), "crowds")
     leader = held.groupBy(*at, "near").agg(F.min_by("embedding", F.struct("vec_id", "content")).alias("leader"))
 
@@ -247,7 +248,7 @@ def _crowds(usable: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     salted = members.select(*key, "vec_id").distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     some = salted.withColumn("no", F.row_number().over(Window.partitionBy(*key, "salt").orderBy("vec_id"))).filter(F.col("no") <= k + 1)
     first = some.withColumn("no", F.row_number().over(Window.partitionBy(*key).orderBy("vec_id"))).filter(F.col("no") <= k + 1).select(*key, "vec_id")
-    return first, members.join(first, [*key, "vec_id"], "left_anti")
+    return first, materialise(members.join(first, [*key, "vec_id"], "left_anti"), "crowd-rest")
 
 
 def nearest_pairs(entries: DataFrame, settings: Settings | None = None) -> DataFrame:

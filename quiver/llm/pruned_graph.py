@@ -99,8 +99,8 @@ class PrunedGraph:
             return np.zeros((0, beam or self.beam), np.int32), np.zeros((0, beam or self.beam), np.float32)
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
-    def _search(self, q: np.ndarray, starts: np.ndarray, beam: int, expand: int = 2) -> tuple[np.ndarray, np.ndarray]:
-        n, m = len(q), len(self.x)
+    def _search(self, q: np.ndarray, starts: np.ndarray, beam: int, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        n, m, expand = len(q), len(self.x), min(expand, beam)
         seen = np.zeros((n, m + 1), dtype=bool)  # the last column stands for "no point"
         seen[:, m] = True
         every = np.arange(n)[:, None]
