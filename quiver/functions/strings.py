@@ -226,8 +226,12 @@ template("string.suffix", "si", "right({0}, CAST(greatest({1}, 0) AS INT))")
 template("string.reverse", "s", "reverse({0})")
 
 
+_FORMS = ("NFC", "NFD", "NFKC", "NFKD")
+
+
 def _normal(texts: pd.Series, forms: pd.Series) -> pd.Series:
-    return pd.Series([None if s is None or f not in ("NFC", "NFD", "NFKC", "NFKD") else unicodedata.normalize(f, s) for s, f in zip(texts, forms)])
+    # most texts are ASCII, or in the form already, which is quick to tell
+    return pd.Series([s if s is None or s.isascii() and f in _FORMS else None if f not in _FORMS else s if unicodedata.is_normalized(f, s) else unicodedata.normalize(f, s) for s, f in zip(texts, forms)])
 
 
 @function("string.normalize", "ss", low=1)
@@ -249,8 +253,16 @@ def _damerau(a: str, b: str) -> int:
     return rows[-1][-1]
 
 
+def _distinct(score, x: pd.Series, y: pd.Series) -> list:
+    """The score of each pair, computed once for equal pairs of a batch; null if one of the two is."""
+    known: dict = {}
+    for pair in set(zip(x, y)):
+        known[pair] = None if pair[0] is None or pair[1] is None else score(*pair)
+    return [known[pair] for pair in zip(x, y)]
+
+
 def _damerau_all(x: pd.Series, y: pd.Series) -> pd.Series:
-    return pd.Series([None if p is None or q is None else _damerau(p, q) for p, q in zip(x, y)], dtype="Int64")
+    return pd.Series(_distinct(_damerau, x, y), dtype="Int64")
 
 
 @function("text.distance", "sss")
@@ -309,7 +321,7 @@ def _dice(a: str, b: str) -> float:
 
 def _scores(score):
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else score(p, q) for p, q in zip(x, y)], dtype="float64")
+        return pd.Series(_distinct(score, x, y), dtype="float64")
 
     return run
 
