@@ -255,7 +255,14 @@ class PropertyGraph:
             part = part.filter(F.col(SRC).isNotNull() & F.col(DST).isNotNull())
             edges[e.type] = part if e.type not in edges else edges[e.type].unionByName(part, allowMissingColumns=True)
         out = PropertyGraph.generic(nodes, edges, self.labels())
-        known = {(e.type, "nodes", "nodes", end): all(self.intact(x, end) for x in self.edges if x.type == e.type) for e in out.edges for end in ("src", "dst")}
+        # what is known already of the ends goes over; the rest is found out when it is asked for
+        sound = lambda x, end: True if end in x.checked or x.owner == end else self.known.get((x.type, x.source, x.target, end))
+        known = {}
+        for e in out.edges:
+            for end in ("src", "dst"):
+                parts = [sound(x, end) for x in self.edges if x.type == e.type]
+                if False in parts or None not in parts:
+                    known[e.type, "nodes", "nodes", end] = False not in parts
         return replace(out, indexes=self.indexes, constraints=self.constraints, known=known)
 
     def frozen(self) -> PropertyGraph:

@@ -48,18 +48,20 @@ class Writer(Compiler):
         if layers > LAYERS:
             df, layers = materialise(df, "graph-nodes"), 0
         self.touched.add(None)
-        self.graph = replace(self.graph, nodes=(NodeTable("nodes", df, ID, (), LABELS, layers),), known_labels=self.graph.known_labels | labels)
+        self.graph = replace(self.graph, nodes=(NodeTable("nodes", df, ID, (), LABELS, layers),), known_labels=self.graph.known_labels | labels, known=dict(self.graph.known))
 
     def _with_edges(self, kind_: str, df: DataFrame) -> None:
         old = next((e for e in self.graph.edges if e.type == kind_), None)
         layers = (old.layers if old else 0) + 1
         if layers > LAYERS:
             df, layers = materialise(df, "graph-edges"), 0
+        # what holds for the ends before a change holds after it; what is found out later isn't told to earlier versions
+        known = dict(self.graph.known)
         if old is None:  # its relationships will all be made between nodes that are there
-            self.graph.known.update({(kind_, "nodes", "nodes", end): True for end in ("src", "dst")})
+            known |= {(kind_, "nodes", "nodes", end): True for end in ("src", "dst")}
         self.touched.add(kind_)
         table = EdgeTable(kind_, df, ID, SRC, DST, "nodes", "nodes", layers=layers)
-        self.graph = replace(self.graph, edges=tuple(e for e in self.graph.edges if e.type != kind_) + (table,))
+        self.graph = replace(self.graph, edges=tuple(e for e in self.graph.edges if e.type != kind_) + (table,), known=known)
 
     def _edges(self, kind_: str) -> DataFrame:
         found = [e.df for e in self.graph.edges if e.type == kind_]
