@@ -41,7 +41,10 @@ def where(scope: Scope, e: A.Expr | None) -> None:
             later.append((c.of if negated else c, negated))
         else:
             sql = scope.boolean(scope.compile(c))
-            scope.df = scope.df.filter(sql)
+            if any(isinstance(x, A.Call) and x.name.lower() not in ("id", "value.id", "node.id") for x in walk(c)):
+                scope.df = scope.df.filter(sql)  # functions may draw random values
+            else:
+                scope.keep(sql, wait=isinstance(c, A.Binary) and c.op == "<>")
     for c, negated in later:
         semi_join(scope, c, negated)
 
@@ -224,7 +227,7 @@ class Compiler:
                 unit(scope)
                 optional_match(scope, c, used)
             else:
-                Matcher(scope, used | usage((c.where,))).match(c.pattern)
+                Matcher(scope, used | usage((c,))).match(c.pattern)
                 where(scope, c.where)
             scope.order = []
             return scope

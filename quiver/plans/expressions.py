@@ -10,6 +10,7 @@ from __future__ import annotations
 import itertools
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -97,6 +98,8 @@ class Scope:
 
     def __init__(self, spark: SparkSession, graph: PropertyGraph, params: dict, df: DataFrame | None = None, variables: dict | None = None, hidden: list[str] | None = None):
         self.spark, self.graph, self.params = spark, graph, params
+        self.parts: list[DataFrame] = []  # tables whose product the rows are
+        self.across: list[str] = []  # conditions on columns of several of them
         self.df, self.vars = df, dict(variables or {})
         self.hidden = list(hidden or [])  # columns of an outer query that every step keeps
         self.order: list[tuple[str, bool]] = []  # columns by which the rows were sorted last
@@ -106,9 +109,33 @@ class Scope:
         self._frame: tuple[Any, DataFrame] | None = None
         self._types: dict[str, T.DataType] = {}
 
+    # -- rows --------------------------------------------------------------
+    @property
+    def df(self) -> DataFrame | None:
+        """The rows; tables that stood apart are multiplied."""
+        if len(self.parts) > 1:
+            self.df = reduce(lambda d, c: d.filter(c), self.across, reduce(lambda a, b: a.crossJoin(b), self.parts))
+        return self.parts[0] if self.parts else None
+
+    @df.setter
+    def df(self, df: DataFrame | None) -> None:
+        self.parts, self.across = [] if df is None else [df], []
+
+    def keep(self, sql: str, wait: bool) -> None:
+        """Filter a table that stands apart by a condition on it alone; one on several waits for their product, or brings it about."""
+        on = [i for i, p in enumerate(self.parts) if any(f"`{c}`" in sql for c in p.columns)]
+        if len(on) == 1:
+            self.parts[on[0]] = self.parts[on[0]].filter(sql)
+        elif len(on) > 1 and wait:
+            self.across.append(sql)
+        else:
+            self.df = self.df.filter(sql)
+
     # -- columns and types ------------------------------------------------
     def clone(self, df: DataFrame | None = None, variables: dict | None = None) -> Scope:
-        s = Scope(self.spark, self.graph, self.params, self.df if df is None else df, self.vars if variables is None else variables, self.hidden)
+        s = Scope(self.spark, self.graph, self.params, df, self.vars if variables is None else variables, self.hidden)
+        if df is None:
+            s.parts, s.across = list(self.parts), list(self.across)
         s.order = list(self.order)
         return s
 
@@ -121,9 +148,9 @@ class Scope:
     def type_of(self, sql: str) -> T.DataType:
         if sql == "NULL":
             return T.NullType()
-        key = (id(self.df), tuple(self.locals))
+        key = (tuple(map(id, self.parts)), tuple(self.locals))
         if self._frame is None or self._frame[0] != key:
-            own = list(self.df.schema.fields) if self.df is not None else []
+            own = [f for p in self.parts for f in p.schema.fields]
             schema = T.StructType(own + [T.StructField(n, t) for n, t in self.locals.items()])
             self._frame, self._types = (key, self.spark.createDataFrame([], schema)), {f"`{f.name}`": f.dataType for f in schema.fields}
         if sql not in self._types:

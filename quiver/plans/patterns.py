@@ -24,12 +24,21 @@ from quiver.workdir import materialise
 
 CAP = 100  # hops of an open pattern
 UNROLLED = 3  # hops up to which a variable-length pattern is one plan
+SPREAD = 1_000_000  # results of a join beyond which its small sides are dealt out
+SHARE = 500_000  # results of a task then
+SENT = 32 << 20  # bytes of a side that may be sent to all tasks
 
 
 # -- which columns a query asks for --------------------------------------
 def usage(clauses) -> set:
-    """Variables that are used as a whole, and (variable, property) for those of which a property is."""
+    """Variables that are used as a whole, and (variable, property) for those of which a property is.
+
+    Shortest paths of which only the length is asked for don't count;
+    (None, variable) stands for one whose values are told apart.
+    """
     used: set = set()
+    measured: set[str] = set()
+    shortest: dict[str, set[str]] = {}
 
     def visit(e):
         if isinstance(e, (tuple, list)):
@@ -37,10 +46,14 @@ def usage(clauses) -> set:
                 visit(x)
         elif isinstance(e, A.Call) and e.args and isinstance(e.args[0], A.Var) and e.name.lower() in ("count", "id", "value.id", "node.id", "edge.id"):
             visit(e.args[1:])
+            if e.distinct:
+                used.add((None, e.args[0].name))
+        elif isinstance(e, A.Call) and len(e.args) == 1 and isinstance(e.args[0], A.Var) and e.name.lower() in ("length", "path.length"):
+            measured.add(e.args[0].name)
         elif isinstance(e, A.IsNull) and isinstance(e.of, A.Var):
             pass
         elif isinstance(e, A.Binary) and e.op in ("=", "<>") and isinstance(e.left, A.Var) and isinstance(e.right, A.Var):
-            pass
+            used.update({(None, e.left.name), (None, e.right.name)})
         elif isinstance(e, A.Item) and isinstance(e.expr, A.Var) and e.name != e.expr.name:
             used.add(e.expr.name)
         elif isinstance(e, A.Prop) and isinstance(e.of, A.Var):
@@ -52,7 +65,9 @@ def usage(clauses) -> set:
                 used.add("*")
             visit((e.items, e.order, e.skip, e.limit))
         elif isinstance(e, A.PathP):
-            if e.var:
+            if e.var and e.shortest:
+                shortest.setdefault(e.var, set()).update(n.var for n in e.nodes if n.var)
+            elif e.var:
                 used.update(n.var for n in e.nodes if n.var)
             visit([n.props for n in e.nodes if n.props is not None] + [r.props for r in e.rels if r.props is not None])
         elif isinstance(e, A.SetItem):
@@ -63,6 +78,9 @@ def usage(clauses) -> set:
                 visit(getattr(e, f))
 
     visit(clauses)
+    used |= measured - set(shortest)
+    for v, ends in shortest.items():
+        used |= ends if {v, "*", (None, v)} & used else set()
     return used
 
 
@@ -241,10 +259,10 @@ class Matcher:
         return t.id if t.id in t.properties else None
 
     def _add(self, df: DataFrame, condition=None) -> None:
-        if self.s.df is None:
+        if not self.s.parts:
             self.s.df = df if condition is None else df.filter(condition)
         elif condition is None:
-            self.s.df = self.s.df.crossJoin(df)
+            self.s.parts.append(df)
         else:
             self.s.df = self.s.df.join(df, condition)
 
@@ -606,7 +624,13 @@ class Matcher:
 
     # -- shortest paths ---------------------------------------------------
     def _shortest(self, p: A.PathP, hops: dict[int, Hop]) -> None:
-        """Breadth-first from every distinct start; a node is entered once (or by all paths of equal length) for each start."""
+        """Breadth-first from every distinct start; a node is entered once (or by all paths of equal length) for each start.
+
+        Tables that aren't on the way to a target are left out at each level.
+        Starts and targets that stand apart aren't multiplied: the walks join
+        them.  All paths of the last length are only counted out where they
+        are used, from what is known of both sides by then.
+        """
         s = self.s
         if len(p.rels) != 1:
             raise QueryError("a shortest path has one relationship pattern")
@@ -614,50 +638,141 @@ class Matcher:
         low, high = r.length or (1, 1)
         high = CAP if high is None else high
         left = self._start(p.nodes[0])
+        right = s.vars.get(rn.var) if rn.var else None
+        if isinstance(right, ValB):
+            right = self._from_value(rn, right)
+        mine = next(x for x in s.parts if left.id in x.columns)
+        other = next((x for x in s.parts if right is not None and x is not mine and right.id in x.columns), None)
         c = s.fresh("bfs")
-        step_df, step, one_table = self._step(h, r, True)
-        hydrated = p.var is not None
-        rel_type = step_df.schema[f"{step}_r"].dataType.simpleString()
+        whole = p.var is not None and bool({p.var, "*", (None, p.var)} & self.used)
+        rich = whole or r.var is not None
+        starts, targets, ends = set(left.tables), set(self.tables[self._key(rn)]), h.ends()
+        back = [targets]  # tables from which a target can be reached by so many hops
+        while len(back) <= high and (len(back) == 1 or back[-1] != back[-2]):
+            back.append(back[-1] | {a for a, b in ends if b in back[-1]})
+        near = lambda d: back[min(d, len(back) - 1)]
+        if not rich:
+            on_way, size = set(starts), -1
+            while len(on_way) > size:
+                size = len(on_way)
+                on_way |= {b for a, b in ends if a in on_way and b in near(high - 1)}
+            h = Hop([(e, x) for e, x in h.options if {e.source, e.target} <= on_way] or h.options)
+        step_df, step, _ = self._step(h, r, rich)
         tab = f"`{left.tab}`" if left.tab else quoted(left.tables[0])
-        starts = s.df.selectExpr(f"CAST(`{left.id}` AS BIGINT) AS `{c}_s`", f"{tab} AS `{c}_st`").filter(f"`{c}_s` IS NOT NULL").distinct()
-        empty = [f"CAST(array() AS ARRAY<{rel_type}>) AS `{c}_rels`"]
-        if hydrated:
+        front = mine.selectExpr(f"CAST(`{left.id}` AS BIGINT) AS `{c}_s`", f"{tab} AS `{c}_st`").filter(f"`{c}_s` IS NOT NULL").distinct()
+        carried = {}
+        if rich:
+            carried[f"{c}_rels"] = f"CAST(array() AS ARRAY<{step_df.schema[f'{step}_r'].dataType.simpleString()}>)"
+        if whole:
             nodes = self._node_list(step)
-            empty.append(f"CAST(array() AS ARRAY<{nodes.schema[f'{step}_n'].dataType.simpleString()}>) AS `{c}_nodes`")
-        front = materialise(starts.selectExpr("*", f"`{c}_s` AS `{c}_at`", f"`{c}_st` AS `{c}_tab`", *empty), "bfs")
+            carried[f"{c}_nodes"] = f"CAST(array() AS ARRAY<{nodes.schema[f'{step}_n'].dataType.simpleString()}>)"
+        front = materialise(front.selectExpr("*", f"`{c}_s` AS `{c}_at`", f"`{c}_st` AS `{c}_tab`", *[f"{e} AS `{x}`" for x, e in carried.items()]), "bfs")
         key = [f"{c}_s", f"{c}_st", f"{c}_at", f"{c}_tab"]
-        carried = [f"{c}_rels", *([f"{c}_nodes"] if hydrated else [])]
-        seen, found = [front.select(*key)], [front] if low == 0 else []
-        for _ in range(high):
-            on = F.expr(f"`{c}_at` = `{step}_a`" + ("" if one_table else f" AND `{c}_tab` = `{step}_ta`"))
-            nxt = front.join(step_df, on)
-            moved = [f"array_append(`{c}_rels`, `{step}_r`) AS `{c}_rels`"]
-            if hydrated:
-                nxt = nxt.join(nodes, F.expr(f"`{step}_b` = `{step}_nk` AND `{step}_tb` = `{step}_nt`"))
-                moved.append(f"array_append(`{c}_nodes`, `{step}_n`) AS `{c}_nodes`")
-            nxt = nxt.selectExpr(f"`{c}_s`", f"`{c}_st`", f"CAST(`{step}_b` AS BIGINT) AS `{c}_at`", f"`{step}_tb` AS `{c}_tab`", *moved)
-            nxt = nxt.join(reduce(lambda x, y: x.unionByName(y), seen), key, "left_anti")
-            if p.shortest == "one":
+        among = lambda column, tables: f"{column} IN ({', '.join(map(quoted, sorted(tables)))})"
+        begin = F.expr(f"CAST(`{left.id}` AS BIGINT) = `{c}_s` AND {tab} = `{c}_st`")
+
+        def landed(front: DataFrame, at: set[str], k: int) -> DataFrame:
+            """Walks that are at a target, with the rows that asked for them."""
+            out = mine.join(front if at <= targets else front.filter(among(f"`{c}_tab`", targets)), begin)
+            out = out if other is None else out.join(other, self._same(right, f"{c}_at", f"`{c}_tab`", targets))
+            return out.withColumn(f"{c}_len", F.lit(k))
+
+        at, seen, found = starts, [], [landed(front, starts, 0)] if low == 0 and starts & targets else []
+        for k in range(1, high + 1):
+            to = {b for a, b in ends if a in at and b in near(high - k)}
+            if not to:
+                break
+            hop = step_df.filter(f"{among(f'`{step}_ta`', at)} AND {among(f'`{step}_tb`', to)}")
+            last = k == high and p.shortest == "all"  # every walk ends at a target now
+            if whole:
+                hop = hop.join(nodes, F.expr(f"`{step}_b` = `{step}_nk` AND `{step}_tb` = `{step}_nt`"))
+            if last and other is not None:
+                hop = hop.join(other, self._same(right, f"{step}_b", f"`{step}_tb`", targets))
+            near_key = {f"{c}_at": f"{step}_a"} | ({} if len(at) == 1 else {f"{c}_tab": f"{step}_ta"})
+            if last:
+                walks = mine.join(front, begin)
+                front, hop = (walks, hop) if right is not None and other is None else self._spread(front, walks, hop, near_key, left, None if rich else 0 if other is None else self._width(other))
+            nxt = front.join(hop, F.expr(" AND ".join(f"`{a}` = `{b}`" for a, b in near_key.items())))
+            if to & starts:
+                same = f"`{c}_s` = `{step}_b`" + ("" if len(to) == len(starts) == 1 else f" AND `{c}_st` = `{step}_tb`")
+                nxt = nxt.filter(f"NOT ({same})")
+            moved = {f"{c}_at": f"CAST(`{step}_b` AS BIGINT)", f"{c}_tab": f"`{step}_tb`"}
+            moved |= {x: f"array_append(`{x}`, `{step}_{x[len(c) + 1]}`)" for x in carried}
+            nxt = nxt.selectExpr(*[f"`{x}`" for x in front.columns if x not in moved], *[f"{e} AS `{x}`" for x, e in moved.items()], *([f"`{x}`" for x in other.columns] if last and other is not None else []))
+            met = [f for tables, f in seen if tables & to]
+            if met:
+                nxt = nxt.join(reduce(lambda x, y: x.unionByName(y), met), key, "left_anti")
+            if last:
+                found.append(nxt.withColumn(f"{c}_len", F.lit(k)))
+                break
+            if p.shortest == "one" and rich:
                 least = F.min(F.struct(F.transform(f"{c}_rels", lambda x: x["_id"]).alias("k"), *[F.col(x) for x in carried])).alias("m")
-                nxt = nxt.groupBy(*key).agg(least).selectExpr(*[f"`{k}`" for k in key], *[f"m.`{x}` AS `{x}`" for x in carried])
+                nxt = nxt.groupBy(*key).agg(least).selectExpr(*[f"`{x}`" for x in key], *[f"m.`{x}` AS `{x}`" for x in carried])
+            elif p.shortest == "one":
+                nxt = nxt.distinct()
             front = materialise(nxt, "bfs")
             if front.isEmpty():
                 break
-            found.append(front)
-            # where hops go both ways, a node's neighbours are at most one level before it
-            seen = [*(seen[-1:] if r.direction == "both" else seen), front.select(*key).distinct()]
-        rows = reduce(lambda x, y: x.unionByName(y), found) if found else front.limit(0)
-        rows = rows.withColumnsRenamed({f"{c}_s": f"{c}_rs", f"{c}_st": f"{c}_rst"})
-        s.df = s.df.join(rows, F.expr(f"CAST(`{left.id}` AS BIGINT) = `{c}_rs` AND {tab} = `{c}_rst`"))
+            if to & targets:
+                found.append(landed(front, to, k))
+            # where hops go both ways, a node's neighbours are at most one level before it; the start is looked at anyway
+            seen = [*(seen[-1:] if r.direction == "both" else seen), (to, front.select(*key).distinct())]
+            at = to
+        rows = reduce(lambda x, y: x.unionByName(y), found or [landed(front.limit(0), at, 0)])
+        across = s.across
+        s.parts, s.across = [x for x in s.parts if x is not mine and x is not other] + [rows], []
+        for x in across:
+            s.keep(x, True)
         if r.var:
             s.vars[r.var] = ValB(f"{c}_rels")
-        self._land(f"{c}_at", f"{c}_tab", rn, p)
-        if p.var:
+        if other is None:
+            self._land(f"{c}_at", f"{c}_tab", rn, p)
+        elif rn.labels or rn.props is not None:
+            self._check(rn, right)
+        if whole:
             fields = self._node_fields()
             head = node_struct(left, fields)
             s.df = s.df.withColumn(f"{c}_path", F.expr(f"named_struct('nodes', concat(array({head.replace('`' + left.id + '`', 'CAST(`' + left.id + '` AS BIGINT)', 1)}), `{c}_nodes`), 'rels', `{c}_rels`)"))
+        elif p.var:
+            s.df = s.df.withColumn(f"{c}_path", F.expr(f"named_struct('nodes', CAST(array() AS ARRAY<STRUCT<_id: BIGINT, _labels: ARRAY<STRING>>>), 'rels', array_repeat(CAST(NULL AS STRUCT<_id: BIGINT, _type: STRING>), `{c}_len`))"))
+        if p.var:
             s.vars[p.var] = ValB(f"{c}_path")
 
+    def _spread(self, front: DataFrame, rows: DataFrame, hop: DataFrame, key: dict[str, str], left: NodeB, width: int | None) -> tuple[DataFrame, DataFrame]:
+        """``rows`` and ``hop`` for their join, which may have far more rows than both.
+
+        Small sides would make few tasks, so ``rows`` are dealt out by their
+        start as the number of results asks for.  A ``hop`` that is measured
+        to be small is sent to all of them, so results need no shuffle, nor
+        does a grouping by start.  ``width``: bytes of a hop's further
+        columns, None where they can be of any length.
+        """
+        s = self.s
+        there = hop.groupBy(*key.values()).agg(F.count(F.lit(1)).alias("_m"))
+        here = front.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+        sizes = there.join(here, F.expr(" AND ".join(f"`{a}` = `{b}`" for a, b in key.items())), "left")
+        results, size = sizes.agg(F.sum(F.expr("_m * coalesce(_n, 0)")), F.sum("_m")).first()
+        if (results or 0) <= SPREAD:
+            return rows, hop
+        parts = max(int(s.spark.conf.get("spark.sql.shuffle.partitions")), -(-results // SHARE))
+        rows = rows.repartition(parts, F.col(f"`{left.id}`"))
+        name = self._key_property(left.tables)
+        if name and "*" not in self.used and left.props[name] == f"{left.id}_{name}" and rows.schema[left.id].dataType == rows.schema[left.props[name]].dataType:
+            rows = rows.withColumn(left.props[name], F.col(f"`{left.id}`"))  # the same value: Spark then knows that rows are dealt out by it
+        return rows, F.broadcast(hop) if width is not None and size * (width + 24) <= SENT else hop
+
+    def _width(self, df: DataFrame) -> int | None:
+        """Bytes of a row's columns that the query may use; None where values can be of any length."""
+        s, wanted = self.s, list(self.s.hidden)
+        for v, b in s.vars.items():
+            whole = bool({v, "*"} & self.used)
+            if isinstance(b, ValB):
+                wanted.append(b.column)
+                continue
+            wanted += [*b.key(), *[x for k, x in b.props.items() if whole or (v, k) in self.used], *([b.labels.strip("`")] if whole and isinstance(b, NodeB) else [])]
+        types = [f.dataType for f in df.schema.fields if f.name in wanted]
+        return 8 * len(types) if all(isinstance(t, (T.IntegralType, T.FractionalType, T.BooleanType, T.DatetimeType)) and t.simpleString() != "time" for t in types) else None
+
     def _bind_path(self, p: A.PathP, nodes: list, rels: list) -> None:
         s, fields = self.s, self._node_fields()
         cast_id = lambda b: node_struct(b, fields).replace(f"`{b.id}`", f"CAST(`{b.id}` AS BIGINT)", 1)
